@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, source_mixing
+from . import byte_bpe, fingerprints, language_id, line_dedup, source_mixing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -28,12 +28,31 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return source_mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.against_next(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    fold = language_id.fold(F.col("doc_id"))
+    model = language_id.learn(documents.filter(fold != 1).select("doc_id", "text", "lang"))
+    held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
+    out = language_id.identify(documents.select("doc_id", "text", held_out), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     out = byte_bpe.digests(documents, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.sample(documents, _table(spark, folder, "labels")))
+    return toxicity.score(documents, model).select("doc_id", "severity", "grade", "toxic_pred")
+
+
 _ORACLES: dict[str, str] = {}
 
 #: A run deleted is a longest run of equal lines, blank ones passed over, at an earlier and a later place, with 50 words.
