@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, line_dedup, source_mixing, toxicity
+from . import byte_bpe, fingerprints, language_id, line_dedup, ngram_join, source_mixing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +33,10 @@ def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.against_next(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(_table(spark, folder, "documents").select("doc_id", "text"), 3, Fraction(9, 10)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     fold = language_id.fold(F.col("doc_id"))
@@ -114,6 +119,32 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM drawn"""
 
 
+_ORACLES["op6_ngram_join"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded
+), sized AS (
+  SELECT doc_id, len(s) AS n, s FROM shingled
+), each AS (
+  SELECT doc_id, n, unnest(s) AS s FROM sized
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM each a JOIN each b ON a.s = b.s AND a.doc_id < b.doc_id AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, c.component_id,
+       coalesce(k.class_id, z.doc_id) AS class_id
+FROM sized z JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) c ON c.a = z.doc_id
+LEFT JOIN (SELECT list_sort(s) AS s, min(doc_id) AS class_id FROM sized WHERE n > 0 GROUP BY list_sort(s)) k ON k.s = list_sort(z.s)"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
