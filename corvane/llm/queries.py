@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, line_dedup, ngram_join, source_mixing, toxicity
+from . import byte_bpe, fingerprints, html_extract, language_id, line_dedup, ngram_join, source_mixing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,10 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_table(spark, folder, "documents").select("doc_id", "text"), 3, Fraction(9, 10)).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op7_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(_table(spark, folder, "pages"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     fold = language_id.fold(F.col("doc_id"))
