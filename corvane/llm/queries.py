@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, html_extract, language_id, line_dedup, ngram_join, source_mixing, toxicity
+from . import byte_bpe, fingerprints, html_extract, language_id, line_dedup, ngram_join, source_mixing, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,10 @@ def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.against_next(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_table(spark, folder, "documents").select("doc_id", "text"), 3, Fraction(9, 10)).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -123,6 +127,17 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM drawn"""
 
 
+_ORACLES["op4_topk_search"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
 _ORACLES["op6_ngram_join"] = r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
