@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, html_extract, language_id, line_dedup, ngram_join, source_mixing, topk_search, toxicity
+from . import byte_bpe, fingerprints, html_extract, language_id, line_dedup, lm_scoring, ngram_join, source_mixing, topk_search, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,12 @@ def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    words = lm_scoring.vocabulary(documents)
+    return lm_scoring.score(documents, words, lm_scoring.train(documents, words)).select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_table(spark, folder, "documents").select("doc_id", "text"), 3, Fraction(9, 10)).select("doc_id", "n_shingles", "component_id", "class_id")
 
