@@ -180,15 +180,18 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(Vocabulary.read(path), pattern)
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the ids of its texts, as array<int>."""
 
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
         t = tokenizer(path, pattern)
-        packed = [t.encode_packed(x) for x in column.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype("int32")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        return _lists([t.encode_packed(x.as_py()) for x in column])
 
     return df.withColumn(ids, encoded(F.col(text)))
 
@@ -204,20 +207,23 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str =
     return df.withColumn(data, decoded(F.col(ids)))
 
 
-def digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass, without their outputs."""
+def digests(df: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256 (and ids): encoding and decoding in one pass."""
+    fields = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
 
-    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf(", ".join(f"{k} {v}" for k, v in fields.items()))
     def digested(column: pa.Array) -> pa.Array:
-        t, counts, ids, data = tokenizer(path, pattern), [], [], []
+        t, counts, ids, data, all_packed = tokenizer(path, pattern), [], [], [], []
         for x in column:
             packed = t.encode_packed(x.as_py())
             counts.append(len(packed) // 4)
             ids.append(hashlib.sha256(packed).hexdigest())
             data.append(hashlib.sha256(t.decode_packed(packed)).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                all_packed.append(packed)
+        out = [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
+        return pa.StructArray.from_arrays(out + ([_lists(all_packed)] if with_ids else []), list(fields))
 
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [c for c in df.columns if c not in names]
+    kept = [c for c in df.columns if c not in fields]
     out = df.select(*kept, digested(F.col(text)).alias("__digest"))
-    return out.select(*kept, *(F.col(f"__digest.{n}").alias(n) for n in names))
+    return out.select(*kept, *(F.col(f"__digest.{n}").alias(n) for n in fields))
