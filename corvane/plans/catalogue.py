@@ -2,52 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_aggregates, queries_data, queries_expressions, queries_joins, queries_sets, queries_subqueries
+from .registry import oracle_sql, queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corvane.sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name, with its oracle where SQL can express it."""
-
-    def add(function: Query) -> Query:
-        _QUERIES[function.__name__] = function
-        if oracle is not None:
-            _ORACLES[function.__name__] = oracle
-        return function
-
-    return add
-
-
-@query("""
-SELECT l_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
-WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15'
-GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC NULLS FIRST, l_orderkey LIMIT 100""")
-def flagship_revenue(spark: SparkSession, folder: str) -> DataFrame:
-    customer = table(spark, folder, "customer").filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
-    orders = table(spark, folder, "orders").filter(F.col("o_orderdate") < F.expr("timestamp_ntz'1998-03-15'")).select("o_orderkey", "o_custkey", "o_orderdate")
-    lineitem = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("amount"))
-    return (
-        orders.join(customer, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
-        .join(lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_orderkey", "o_orderdate")
-        .agg(F.round(F.sum("amount"), 2).alias("revenue"))
-        .orderBy(F.col("revenue").desc_nulls_first(), F.col("l_orderkey").asc_nulls_last())
-        .limit(100)
-    )
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+__all__ = ["oracle_sql", "queries", "queries_aggregates", "queries_data", "queries_expressions", "queries_joins", "queries_sets", "queries_subqueries"]
