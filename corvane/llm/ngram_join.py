@@ -16,6 +16,10 @@ with E empty segments goes through its segments in order until it has passed E t
 each filled one passed once more, as it is and without each of its elements.  The shorter of two sets' passages holds a
 segment where this meets.  A set that has no E such segments passes all, and signs its empty segments too.
 
+A sketch of each set says which of ``CELLS`` cells of the universe hold an odd number of its elements.  Each element that
+one of two sets has alone changes one cell, so sets whose sketches differ in more than H cells aren't similar.  A pair
+that fails this goes no further: it isn't even a row of the join that would have made it.
+
 Verification is exact, on whole sets.  Pairs are never listed for whole groups: first all sets of a signature are
 compared with the smallest id of it, and links are joined into components; then, in signatures whose sets are still in
 several components, with the largest id; only pairs that are then still in different components, and were not compared
@@ -37,7 +41,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -45,6 +49,8 @@ from .common import stored
 
 #: Ratio of a band's largest size to its smallest.
 BAND = Fraction(5, 4)
+#: Cells of a sketch, in 64-bit words of 64.
+CELLS = 512
 #: Ids up to which a list of them is broadcast.
 FEW = 2_000_000
 
@@ -123,26 +129,53 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[n
     return W.distinct(made[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1)))
 
 
+def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each set's sketch, as CELLS / 64 numbers."""
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    cell = (W.mix(values ^ np.uint64(0x5C5C5C5C)) >> np.uint64(32)).astype(np.int64) % CELLS
+    odd = np.bincount(of * CELLS + cell, minlength=(len(offsets) - 1) * CELLS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, CELLS // 64)
+
+
 def sketched(df: DataFrame, n: int, threshold: Fraction, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, signatures) of each row; digest is null for an empty set."""
+    """(doc_id, n_shingles, digest, signatures, sketch) of each row; digest is null for an empty set."""
     bands = Bands(threshold)
 
-    @F.arrow_udf("n bigint, digest binary, signatures array<bigint>")
+    @F.arrow_udf("n bigint, digest binary, signatures array<bigint>, sketch array<bigint>")
     def made(column: pa.Array) -> pa.Array:
-        counts, digests, lists, lengths = [], [], [], []
+        counts, digests, lists, lengths, odd = [], [], [], [], []
         for group in W.groups(x.as_py() for x in column):
             values, offsets = sets(group, n)
             found, ends = signatures(values, offsets, bands)
             counts.append(np.diff(offsets))
+            odd.append(sketches(values, offsets))
             digests += [hashlib.blake2b(values[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             lists.append(found)
             lengths.append(np.diff(ends))
         ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("int32") if lengths else np.zeros(1, "int32")
         flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["n", "digest", "signatures"])
+        cells = np.concatenate(odd) if odd else np.zeros((0, CELLS // 64), np.int64)
+        sketch = pa.ListArray.from_arrays(pa.array((np.arange(len(cells) + 1) * (CELLS // 64)).astype("int32")), pa.array(cells.ravel()))
+        n_all = pa.array(np.concatenate(counts) if counts else [], pa.int64())
+        return pa.StructArray.from_arrays([n_all, pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), sketch], ["n", "digest", "signatures", "sketch"])
 
     out = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), made(F.col(text)).alias("s"))
-    return out.select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.digest").alias("digest"), F.col("s.signatures").alias("signatures"))
+    return out.select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.digest").alias("digest"), F.col("s.signatures").alias("signatures"), F.col("s.sketch").alias("sketch"))
+
+
+def near(one: Column, two: Column, threshold: Fraction) -> Column:
+    """Whether sketches (struct of n and s) leave room for two sets to be similar."""
+    up, down = threshold.numerator, threshold.denominator
+    differ = sum((F.bit_count(one["s"][i].bitwiseXOR(two["s"][i])) for i in range(1, CELLS // 64)), F.bit_count(one["s"][0].bitwiseXOR(two["s"][0])))
+    sizes = one["n"] + two["n"]
+    small, large = F.least(one["n"], two["n"]), F.greatest(one["n"], two["n"])
+    return (small * down >= large * up) & (differ * (down + up) <= sizes * (down - up))
+
+
+def plausible(pairs: DataFrame, sketch: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of (a, b), those whose sketches are near.  sketch: (rep, k)."""
+    one, two = (sketch.select(F.col("rep").alias(c), F.col("k").alias(f"k{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").filter(near(F.col("ka"), F.col("kb"), threshold)).select("a", "b")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -211,14 +244,15 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text:
     """
     rows = stored(sketched(df, n, threshold, text))
     usable = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures")))
+    classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"), F.first(F.struct(F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))).alias("k")))
     each = classes.select("rep", F.explode("signatures").alias("signature")).repartition("signature")
     shared = each.groupBy("signature").agg(F.min("rep").alias("first"), F.max("rep").alias("__last")).filter("first < __last").drop("__last")
     members = stored(each.join(shared, "signature"))
     wanted = stored(members.select(F.col("rep").alias("doc_id")).distinct())
     source = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     texts = stored(source.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "doc_id"))
-    pairs = stored(members.filter("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    sketch = stored(classes.select("rep", "k").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, F.col("rep") == F.col("doc_id")).select("rep", "k"))
+    pairs = stored(plausible(members.filter("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), sketch, threshold))
     links = stored(linked(pairs, texts, n, threshold))
     found = stored(components(links))
     # compare with the largest id where components still differ
@@ -226,15 +260,18 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text:
     name = F.col("component")
     last = left.filter("rep = last").select("signature", F.col("component").alias("last_component")).distinct()
     again = left.join(last, "signature").filter((name != F.col("last_component")) & (F.col("rep") != F.col("last")))
-    again = stored(again.select(F.col("rep").alias("a"), F.col("last").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    again = again.select(F.col("rep").alias("a"), F.col("last").alias("b")).distinct()
+    again = stored(plausible(again, sketch, threshold).join(pairs, ["a", "b"], "left_anti"))
     if again.take(1):
         links = links.unionByName(linked(again, texts, n, threshold))
         found = stored(components(links))
         left = stored(_labelled(members, found))
     # and one by one, where they differ even then
-    one = left.select("signature", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    two = left.select("signature", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = one.join(two, "signature").filter("a < b AND ca <> cb").select("a", "b").distinct()
+    left = left.join(sketch, "rep")
+    one = left.select("signature", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("k").alias("ka"))
+    two = left.select("signature", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("k").alias("kb"))
+    open_ = (one["signature"] == two["signature"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("ka"), F.col("kb"), threshold)
+    rest = one.join(two, open_).select("a", "b").distinct()
     rest = stored(rest.join(pairs.unionByName(again), ["a", "b"], "left_anti"))
     if rest.take(1):
         links = links.unionByName(linked(rest, texts, n, threshold))
