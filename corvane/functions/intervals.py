@@ -31,7 +31,7 @@ def parse(text: Column) -> Column:
         sums[part].append(F.when(number != "", F.round(number.cast("decimal(28,6)") * size, 0).cast("bigint")).otherwise(F.lit(0)))
     clock = r"([+-]?)(\d+):(\d{1,2})(?::(\d{1,2}(?:\.\d{1,6})?))?"
     piece = lambda i: F.regexp_extract(text, clock, i)
-    seconds = F.when(piece(4) == "", F.lit(0)).otherwise(piece(4)).cast("decimal(18,6)")
+    seconds = F.when(piece(4) == "", F.lit("0")).otherwise(piece(4)).cast("decimal(18,6)")
     micros = piece(2).cast("bigint") * 3_600_000_000 + piece(3).cast("bigint") * 60_000_000 + (seconds * 1_000_000).cast("bigint")
     sums["micros"].append(F.when(text.rlike(clock), F.when(piece(1) == "-", -micros).otherwise(micros)).otherwise(F.lit(0)))
     total = {k: sum(v[1:], v[0]) for k, v in sums.items()}

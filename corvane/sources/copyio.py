@@ -95,7 +95,7 @@ def copy_to(df: DataFrame, path: str, options: CopyOptions = CopyOptions(), mode
         return
     writer = df.select(*shown).write.mode(mode).option("sep", options.separator).option("header", options.header).option("quote", options.quote)
     # an empty text is quoted, a NULL isn't
-    writer.option("escape", options.escape or options.quote).option("nullValue", options.null_text).option("emptyValue", options.quote * 2).csv(path)
+    writer.option("escape", options.escape or options.quote).option("nullValue", options.null_text).option("emptyValue", options.quote * 2).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def copy_from(spark: SparkSession, path: str, columns: dict[str, str], options: CopyOptions = CopyOptions()) -> DataFrame:
