@@ -54,11 +54,11 @@ def signatures(texts: list[bytes], chain: int = CHAIN) -> tuple[np.ndarray, np.n
     starts = offsets[:-1][np.diff(offsets) > 0]
     opens[starts] = True
     opens[1:] |= anchor[:-1]
-    if chain > len(content):
+    if not len(content):
         at = np.zeros(0, np.int64)
     else:
         # only the first of a row of content words follows an anchor; rows of anchors lead to the same chain
-        first = content[opens[content]] if len(content) else content
+        first = content[opens[content]]
         extra = np.searchsorted(content, starts[anchor[starts]]) if len(starts) else np.zeros(0, np.int64)
         at = np.unique(np.concatenate([np.searchsorted(content, first), extra[extra < len(content)]]))
     if len(at):
