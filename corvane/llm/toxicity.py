@@ -35,8 +35,8 @@ SAMPLE_ROWS = 8_000
 BITS = 18
 GRADES = 4
 #: A word marks toxic rows where its log-odds are this many standard errors above 0 and it is in as many toxic rows.
-MARK_ERRORS, MARK_ROWS = 4.0, 3
-STEPS, RATE, PENALTY = 400, 0.5, 0.0005
+MARK_ERRORS, MARK_ROWS = 3.0, 3
+STEPS, RATE, PENALTY, OTHER_PENALTY = 400, 0.1, 0.0005, 2.5
 
 
 @dataclass(frozen=True)
@@ -110,12 +110,14 @@ def fit(toxic: np.ndarray, places: list[np.ndarray], values: list[np.ndarray]) -
     used = np.flatnonzero(np.bincount(at, minlength=1 << BITS) >= MARK_ROWS)
     keep = np.isin(at, used)
     x, column, row = np.concatenate(values)[keep], np.searchsorted(used, at[keep]), row[keep]
-    penalty = np.where(np.isin(used, marked), PENALTY, PENALTY * 50)
+    penalty = np.where(np.isin(used, marked), PENALTY, OTHER_PENALTY)
     w, n = np.zeros(len(used)), len(toxic)
     share = np.asarray([np.clip((grade >= k).mean(), 1e-4, 1 - 1e-4) for k in range(1, GRADES)])
     t = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
-    seen_w, seen_t = np.full(len(used), 1e-8), np.full(GRADES - 1, 1e-8)
-    for _ in range(STEPS):
+    vector = np.concatenate([w, t])
+    speed, size = np.zeros(len(vector)), np.zeros(len(vector))
+    for step in range(1, STEPS + 1):
+        w, t = vector[: len(used)], vector[len(used) :]
         score = np.bincount(row, x * w[column], n)
         p = 1 / (1 + np.exp(-(score[:, None] - t)))
         # the chance of grade k is that of k or more less that of k + 1 or more
@@ -124,13 +126,16 @@ def fit(toxic: np.ndarray, places: list[np.ndarray], values: list[np.ndarray]) -
         own_u, own_l = upper[np.arange(n), grade], lower[np.arange(n), grade]
         chance = np.maximum(own_u - own_l, 1e-9)
         d_u, d_l = own_u * (1 - own_u) / chance, own_l * (1 - own_l) / chance
-        slope = d_u - d_l
-        g_w = -np.bincount(column, x * slope[row], len(used)) / n + penalty * w
+        pull = d_u - d_l
+        g_w = -np.bincount(column, x * pull[row], len(used)) / n + penalty * w
         g_t = np.asarray([(d_u[grade == k + 1].sum() - d_l[grade == k].sum()) / n for k in range(GRADES - 1)])
-        seen_w += g_w**2
-        seen_t += g_t**2
-        w -= RATE * g_w / np.sqrt(seen_w)
-        t = np.maximum.accumulate(t - RATE * g_t / np.sqrt(seen_t) + 1e-6 * np.arange(GRADES - 1))
+        # Adam, with a rate that falls to nothing
+        slope = np.concatenate([g_w, g_t])
+        speed, size = 0.9 * speed + 0.1 * slope, 0.99 * size + 0.01 * slope**2
+        move = speed / (1 - 0.9**step) / (np.sqrt(size / (1 - 0.99**step)) + 1e-8)
+        vector = vector - RATE * (1 - step / STEPS) * move
+        vector[len(used) :] = np.maximum.accumulate(vector[len(used) :] + 1e-9 * np.arange(GRADES - 1))
+    w, t = vector[: len(used)], vector[len(used) :]
     strong = np.abs(w) > 1e-3
     return Model(used[strong], w[strong], t)
 
