@@ -202,27 +202,23 @@ def any_of(x: Arg, op: str, array: Column) -> Column:
     return F.exists(array, lambda e: _COMPARE[op](col(x), e))
 
 
-def like(x: Arg, pattern: str, escape: str | None = "\\", ignore_case: bool = False) -> Column:
-    """LIKE and ILIKE.  An escape before an ordinary character, or at the end, stands for itself; None or '' turns escapes off."""
+def like_pattern(pattern: str, escape: str | None = "\\") -> str:
+    """A pattern in Spark's own escape.  An escape before an ordinary character, or at the end, stands for itself; None or '' turns escapes off."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
-        if escape and c == escape:
-            following = pattern[i + 1 : i + 2]
-            if following in ("%", "_", escape) and following:
-                out.append(following)
-                i += 2
-                continue
-            out.append(c)
-        elif c == "%":
-            out.append(None)
-        elif c == "_":
-            out.append(0)
+        if escape and c == escape and pattern[i + 1 : i + 2] in ("%", "_", escape):
+            out.append("\\" + pattern[i + 1] if pattern[i + 1] in "%_\\" else pattern[i + 1])
+            i += 1
         else:
-            out.append(c)
+            out.append("\\\\" if c == "\\" else c)
         i += 1
-    # as Spark's own LIKE with its own escape, so that prefixes still reach the scan
-    own = "".join("%" if c is None else "_" if c == 0 else "\\" + c if c in "%_\\" else c for c in out)
+    return "".join(out)
+
+
+def like(x: Arg, pattern: str, escape: str | None = "\\", ignore_case: bool = False) -> Column:
+    """LIKE and ILIKE.  The pattern stays one of Spark's own, so that prefixes reach the scan."""
+    own = like_pattern(pattern, escape)
     return F.lower(col(x)).like(own.lower()) if ignore_case else col(x).like(own)
 
 

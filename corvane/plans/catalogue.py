@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_aggregates, queries_data, queries_expressions, queries_joins, queries_sets, queries_subqueries
+from . import queries_aggregates, queries_data, queries_expressions, queries_joins, queries_sets, queries_sql, queries_subqueries
 from .registry import oracle_sql, queries
 
-__all__ = ["oracle_sql", "queries", "queries_aggregates", "queries_data", "queries_expressions", "queries_joins", "queries_sets", "queries_subqueries"]
+__all__ = ["oracle_sql", "queries", "queries_aggregates", "queries_data", "queries_expressions", "queries_joins", "queries_sets", "queries_sql", "queries_subqueries"]

@@ -106,6 +106,12 @@ class Database:
         schema, _, base = name.rpartition(".")
         return (schema or "public", base)
 
+    def sql(self, text: str, *params: object) -> DataFrame | None:
+        """A statement in the dialect's SQL."""
+        from .dialect import Dialect
+
+        return Dialect(self).run(text, *params)
+
     # ---- definitions
 
     def create_schema(self, name: str, if_not_exists: bool = False) -> None:

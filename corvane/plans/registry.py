@@ -37,3 +37,25 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def dialect(name: str, text: str, oracle: str | None, *tables: str) -> None:
+    """Register a query written in the dialect's own SQL over the folder's tables."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        from corvane.functions.types import family
+        from corvane.operators.dml import Table
+
+        from .database import Database
+
+        database = Database(spark)
+        for t in tables:
+            rows = table(spark, folder, t)
+            kinds = {f.name: {"integer": "bigint", "double": "double precision"}.get(family(f.dataType), family(f.dataType)) for f in rows.schema}
+            database.tables["public", t] = Table(t, kinds, rows)
+        return database.sql(text)
+
+    run.__name__ = name
+    _QUERIES[name] = run
+    if oracle is not None:
+        _ORACLES[name] = oracle
