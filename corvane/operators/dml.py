@@ -229,3 +229,21 @@ class Table:
         candidate._check_whole(self.rows, self.rows)
         self.foreign_keys.append(key)
         key.table.referenced_by.append((self, key))
+
+    def drop_constraint(self, name: str) -> None:
+        """By name: <table>_pkey, <table>_<columns>_key, a check's name, or a foreign key's."""
+        if name == f"{self.name}_pkey" and self.primary_key:
+            self.primary_key = ()
+            return
+        for key in self.unique:
+            if name == f"{self.name}_{'_'.join(key)}_key":
+                self.unique.remove(key)
+                return
+        if self.checks.pop(name, None) is not None:
+            return
+        for key in self.foreign_keys:
+            if key.name == name:
+                self.foreign_keys.remove(key)
+                key.table.referenced_by.remove((self, key))
+                return
+        raise DialectError("42704", f"constraint {name} of {self.name} does not exist")

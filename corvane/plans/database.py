@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.types import DialectError, NotSupported, family, spark_type
 from corvane.operators.dml import Table
+from corvane.session import apply_runtime_defaults
 
 
 @dataclass
@@ -101,6 +102,10 @@ class Database:
     settings: dict[str, str] = field(default_factory=lambda: dict(SETTINGS))
     prepared: dict[str, str] = field(default_factory=dict)
     statistics: dict[tuple[str, str], list[dict]] = field(default_factory=dict)
+    cursors: dict[str, tuple] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        apply_runtime_defaults(self.spark)
 
     def _key(self, name: str) -> tuple[str, str]:
         schema, _, base = name.rpartition(".")

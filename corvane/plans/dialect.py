@@ -197,6 +197,12 @@ class Binder:
             moment = f"CAST({x[0]} AS TIMESTAMP_NTZ)" if x[1] == "date" else x[0]
             seconds = f"CAST(CAST({y[0]}.micros AS DECIMAL(24,0)) / CAST(1000000 AS DECIMAL(8,0)) AS DECIMAL(18,6))"
             return f"({moment} {op} make_ym_interval(0, {y[0]}.months) {op} make_dt_interval({y[0]}.days, 0, 0, {seconds}))", "timestamptz" if x[1] == "timestamptz" else "timestamp"
+        if op in "+-" and x[1] == "time":
+            # around the clock
+            micros = f"(extract(hour FROM {x[0]}) * 3600000000L + extract(minute FROM {x[0]}) * 60000000L + CAST(extract(second FROM {x[0]}) * 1000000 AS BIGINT))"
+            micros = f"pmod({micros} {op} {y[0]}.micros, 86400000000L)"
+            seconds = f"CAST(CAST({micros} % 60000000L AS DECIMAL(18,0)) / CAST(1000000 AS DECIMAL(8,0)) AS DECIMAL(16,6))"
+            return f"make_time(CAST({micros} div 3600000000L AS INT), CAST({micros} div 60000000L % 60 AS INT), {seconds})", "time"
         raise TypeMismatch(f"{op} over {x[1]} and {y[1]}")
 
     def cast(self, x: Typed, target: str) -> Typed:
@@ -857,6 +863,45 @@ class Dialect:
                 if not p["if_exists"]:
                     raise
 
+    def _alter(self, p: dict, binder: Binder) -> None:
+        from corvane.operators.dml import ForeignKey
+
+        table, do = self.database.table(p["table"]), p["do"]
+        if do == "rename":
+            schema = self.database._key(p["table"])[0]
+            self.database.rename_table(p["table"], f"{schema}.{p['to']}")
+        elif do in ("add_primary_key", "add_unique"):
+            getattr(table, do)(*p["columns"])
+        elif do == "add_foreign_key":
+            theirs = self.database.table(p["other"])
+            table.add_foreign_key(ForeignKey(tuple(p["columns"]), theirs, tuple(p["references"]) or theirs.primary_key))
+        elif do == "add_column":
+            default = F.expr(binder.expr(p["default"], Scope(), family(spark_type(p["type"])))[0]) if p["default"] else None
+            table.add_column(p["column"], p["type"], default)
+        elif do == "rename_column":
+            table.rename_column(p["column"], p["to"])
+        elif do == "alter_type":
+            table.alter_type(p["column"], p["type"])
+        else:
+            getattr(table, do)(p.get("column") or p["name"])
+
+    def _declare(self, p: dict, binder: Binder) -> None:
+        from corvane.streaming.results import Cursor
+
+        df = self._query(p, binder)
+        self.database.cursors[p["name"]] = (df.schema, Cursor(df))
+
+    def _fetch(self, p: dict, binder: Binder) -> DataFrame:
+        if p["name"] not in self.database.cursors:
+            raise DialectError("34000", f"cursor {p['name']} does not exist")
+        schema, cursor = self.database.cursors[p["name"]]
+        return self.database.spark.createDataFrame(cursor.fetch(p["count"]), schema)
+
+    def _close(self, p: dict, binder: Binder) -> None:
+        if p["name"] not in self.database.cursors:
+            raise DialectError("34000", f"cursor {p['name']} does not exist")
+        self.database.cursors.pop(p["name"])[1].close()
+
     def _analyze(self, p: dict, binder: Binder) -> None:
         for name in [p["table"]] if p["table"] else [f"{s}.{n}" for s, n in self.database.tables]:
             self.database.analyze(name)

@@ -655,6 +655,29 @@ class Parser:
             kind = self.name()
             exists = self.word("if", "exists")
             return Statement("drop", {"what": kind, "names": self.listed(self.dotted), "if_exists": exists})
+        if self.word("alter", "table"):
+            return self._alter()
+        if self.word("declare"):
+            name = self.name()
+            if self.word("scroll"):
+                raise NotSupported("SCROLL cursors")
+            self.word("no", "scroll")
+            self.need("cursor")
+            self.word("without", "hold")
+            self.need("for")
+            return Statement("declare", {"name": name, "query": self.query()})
+        if self.word("fetch"):
+            count: int | None = 1
+            if self.word("all"):
+                count = None
+            elif self.now.kind == "number":
+                count = self.count()
+            else:
+                self.word("next")
+            self.word("from") or self.word("in")
+            return Statement("fetch", {"count": count, "name": self.name()})
+        if self.word("close"):
+            return Statement("close", {"name": self.name()})
         if self.word("analyze"):
             return Statement("analyze", {"table": self.dotted() if self.now.kind != "end" and self.now.text != ";" else None})
         if self.word("vacuum"):
@@ -674,6 +697,45 @@ class Parser:
             return Statement("discard")
         raise NotSupported(f"statement {self.now.text.upper()}")
 
+    def _alter(self) -> Statement:
+        parts: dict = {"table": self.dotted()}
+        if self.word("add"):
+            if self.word("constraint"):
+                self.name()
+            if self.word("primary", "key"):
+                parts |= {"do": "add_primary_key", "columns": self.names()}
+            elif self.word("unique"):
+                parts |= {"do": "add_unique", "columns": self.names()}
+            elif self.word("foreign", "key"):
+                columns = self.names()
+                self.need("references")
+                parts |= {"do": "add_foreign_key", "columns": columns, "other": self.dotted(), "references": self.names() if self.now.text == "(" else []}
+            else:
+                self.word("column")
+                parts |= {"do": "add_column", "column": self.name(), "type": self.type_name(), "default": self.expression(3) if self.word("default") else None}
+        elif self.word("drop"):
+            if self.word("constraint"):
+                parts |= {"do": "drop_constraint", "name": self.name()}
+            else:
+                self.word("column")
+                parts |= {"do": "drop_column", "column": self.name()}
+        elif self.word("rename"):
+            if self.word("to"):
+                parts |= {"do": "rename", "to": self.name()}
+            else:
+                self.word("column")
+                parts |= {"do": "rename_column", "column": self.name()}
+                self.need("to")
+                parts["to"] = self.name()
+        else:
+            self.need("alter")
+            self.word("column")
+            parts |= {"do": "alter_type", "column": self.name()}
+            self.word("set", "data")
+            self.need("type")
+            parts["type"] = self.type_name()
+        return Statement("alter", parts)
+
     def _create(self) -> Statement:
         replace = self.word("or", "replace")
         if self.word("schema"):

@@ -162,3 +162,30 @@ def test_aggregates(run):
     assert sorted(got[0], key=lambda x: (x is None, x)) == [1, 5, None] and got[1] in ("a,b", "b,a") and got[2:] == (4.0, 2.0, False, True, "a", 2, 8.0)
     assert run("SELECT array_agg(id), string_agg(label, ','), avg(id), sum(id) FROM a WHERE false") == [(None, None, None, None)]
     assert run("SELECT v FROM unnest(ARRAY[1, NULL, 3]) AS v") == [(1,), (None,), (3,)] and run("SELECT g FROM generate_series(3, 1, -1) AS g") == [(3,), (2,), (1,)] and run("SELECT g FROM generate_series(1, 0) AS g") == []
+
+
+def test_alter_table(run):
+    run("CREATE TABLE t (id int, a text)")
+    run("INSERT INTO t VALUES (1, '5'), (2, '6')")
+    run("ALTER TABLE t ADD COLUMN b double precision DEFAULT 2.5")
+    run("ALTER TABLE t ALTER COLUMN b TYPE int")
+    run("ALTER TABLE t RENAME COLUMN a TO c")
+    run("ALTER TABLE t ADD PRIMARY KEY (id)")
+    assert run.state("INSERT INTO t VALUES (1, 'x', 1)") == "23505"
+    run("ALTER TABLE t DROP CONSTRAINT t_pkey")
+    run("INSERT INTO t VALUES (1, 'x', 1)")
+    assert run.state("ALTER TABLE t ADD PRIMARY KEY (id)") == "23505" and run.state("ALTER TABLE t DROP CONSTRAINT nope") == "42704"
+    run("ALTER TABLE t DROP COLUMN b")
+    run("ALTER TABLE t RENAME TO u")
+    assert run("SELECT * FROM u ORDER BY id, c") == [(1, "5"), (1, "x"), (2, "6")] and run.state("SELECT * FROM t") == "42P01"
+
+
+def test_cursors_in_sql(run):
+    run("DECLARE c CURSOR FOR SELECT g FROM generate_series(1, 5) AS g ORDER BY 1")
+    assert run("FETCH 2 FROM c") == [(1,), (2,)] and run("FETCH NEXT FROM c") == [(3,)] and run("FETCH ALL FROM c") == [(4,), (5,)] and run("FETCH c") == []
+    run("CLOSE c")
+    assert run.state("FETCH c") == "34000"
+
+
+def test_time_of_day(run):
+    assert str(run("SELECT TIME '23:00:00' + INTERVAL '02:30:00', TIME '01:00:00' - INTERVAL '1 day 02:00:00'")[0]) == "(datetime.time(1, 30), datetime.time(23, 0))"
