@@ -27,9 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Distinct pieces whose ids a worker keeps, and the longest of them in characters.
-KEPT_PIECES, KEPT_LENGTH = 800_000, 32
-PAIRS = 1_000_000
+KEPT_PIECES, KEPT_LENGTH = 250_000, 32
+PAIRS = 250_000
 
 
 class Vocabulary:
@@ -224,6 +226,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", with_ids
         out = [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
         return pa.StructArray.from_arrays(out + ([_lists(all_packed)] if with_ids else []), list(fields))
 
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in fields]
     out = df.select(*kept, digested(F.col(text)).alias("__digest"))
     return out.select(*kept, *(F.col(f"__digest.{n}").alias(n) for n in fields))

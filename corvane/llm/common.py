@@ -25,13 +25,36 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_MADE: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that stored() has written from here, once nothing that reads them is needed.  Returns how many."""
+    conf, n = spark._jsc.hadoopConfiguration(), len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor takes nothing with it."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/corvane-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts of no more rows than this, unless the session has its own setting.
+
+    The setting is read when a plan runs, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def code_points_key(column: Column) -> Column:
     """Bytes of the UTF-8 form, which sort as code points do."""
     return F.encode(column, "UTF-8")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import small_batches
 
 CHAIN = 2
 #: The common words of English, German, French and Spanish that serve as anchors.
@@ -191,6 +192,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 def against_next(df: DataFrame, text: str = "text", chain: int = CHAIN) -> DataFrame:
     """Each document's fingerprint beside its edited text's and the next document's, as in SCHEMA."""
     spark = df.sparkSession
+    small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lowest = -(2**63)
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(lowest)).alias("at"))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 _MARK = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _MARKED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 #: Elements by how they are read.
@@ -200,6 +202,7 @@ def _order(url: Column, page_id: Column) -> tuple[Column, Column]:
 def extract(df: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of df(page_id, url, html)."""
     spark = df.sparkSession
+    small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     host, key = _order(F.col("url"), F.col("page_id"))
     rows = df.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"), key.alias("key"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import small_batches
 
 #: Neighbours on each side, width of the network, classes and words of a class, tokens of a step.
 REACH, WIDTH, CLASSES, STEP = 2, 16, 32, 8192
@@ -125,6 +126,8 @@ def windows(words: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, plac
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): the hash of every word of the table, and how often it occurs."""
 
+    small_batches(df.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -156,6 +159,7 @@ def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> tup
 
 def train(df: DataFrame, words: tuple[np.ndarray, np.ndarray], text: str = "text", rounds: int = ROUNDS) -> Network:
     """A network trained on all rows of df(doc_id, text)."""
+    small_batches(df.sparkSession)
     net = Network()
     for turn in range(rounds):
         shared = df.sparkSession.sparkContext.broadcast((net.vector, *words))  # fixed by the sizes above
@@ -215,6 +219,7 @@ def score(df: DataFrame, words: tuple[np.ndarray, np.ndarray], net: Network, tex
         sizes, totals = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, totals))
         return pa.StructArray.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(totals)], ["n", "total"])
 
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in names]
     out = df.select(*kept, scored(F.col(text)).alias("__s"))
     mean = F.when(F.col("__s.n") > 0, F.col("__s.total") / F.col("__s.n"))

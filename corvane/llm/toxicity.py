@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import level
+from .common import level, small_batches
 
 #: Labelled rows that come to the driver, at most, and distinct features of one of them that are sent, by lowest hash.
 SAMPLE_ROWS = 8_000
@@ -161,6 +161,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         severity = fitted.severity(total)
         return pa.StructArray.from_arrays([pa.array(severity), pa.array(np.rint(severity).astype("i4")), pa.array(total >= fitted.thresholds[0])], ["severity", "grade", "toxic_pred"])
 
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in names]
     out = df.select(*kept, scored(F.col(text)).alias("__s"))
     return out.select(*kept, *(F.col(f"__s.{n}").alias(n) for n in names))

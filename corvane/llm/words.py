@@ -48,11 +48,6 @@ def hashes(texts: Sequence[bytes], table: bytes = LOWER) -> tuple[np.ndarray, np
     return mix(summed), offsets
 
 
-def hash_of(word: str) -> int:
-    """The hash of one word, as hashes() with LOWER or LETTERS gives it for a word of such letters."""
-    return int(hashes([word.encode("utf-8")])[0][0])
-
-
 def groups(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[bytes]]:
     """The texts as UTF-8, null as empty, in lists of about ``most`` bytes; a longer text is alone or last in its list."""
     held, size = [], 0
@@ -60,7 +55,7 @@ def groups(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[by
         data = text.encode("utf-8") if text else b""
         held.append(data)
         size += len(data)
-        if size >= most or len(held) >= 4096:
+        if size >= most or len(held) >= 1024:
             yield held
             held, size = [], 0
     if held:

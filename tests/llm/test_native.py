@@ -144,3 +144,15 @@ def test_queries_match_their_sql(spark, name):
 def test_stored_keeps_schema(spark):
     df = spark.range(5).selectExpr("id", "array(id) AS v")
     assert stored(df).dtypes == df.dtypes and stored(df.limit(0)).count() == 0
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from corvane.llm.common import clear_stored
+
+    clear_stored(spark)
+    df = stored(spark.range(3))
+    path = df.inputFiles()[0]
+    assert clear_stored(spark) == 1
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))

@@ -61,7 +61,7 @@ def test_similar_sets_always_share_a_signature():
     for t in (Fraction(9, 10), Fraction(4, 5)):
         bands = N.Bands(t)
         for _ in range(1500):
-            size = int(dice.integers(1, 160))
+            size = int(dice.integers(1, 160 if dice.random() < 0.7 else 700))
             a = dice.integers(0, 2**63, size).astype(np.uint64)
             b = a.copy()
             for _ in range(int(dice.integers(0, max(1, int(size * 0.25))))):
@@ -71,13 +71,33 @@ def test_similar_sets_always_share_a_signature():
             if Fraction(common, len(a) + len(b) - common) < t:
                 continue
             values, offsets = np.concatenate([a, b]), np.asarray([0, len(a), len(a) + len(b)])
-            signed, ends = N.signatures(values, offsets, bands)
-            assert np.intersect1d(signed[: ends[1]], signed[ends[1] :]).size, (t, len(a), len(b), common)
-            one, two = N.sketches(values, offsets)
+            signed, slots, of = N.signatures(values, offsets, bands)
+            both = [{(x, slot >> 32): slot & 0xFFFFFFFF for x, slot, o in zip(signed.tolist(), slots.tolist(), of.tolist(), strict=True) if o == i} for i in (0, 1)]
+            shared = both[0].keys() & both[1].keys()
+            # what is left where each leaves out as much as it may
+            assert any(sum(b == band for _, b in shared) > max(both[0][x, band], both[1][x, band]) for x, band in shared), (t, len(a), len(b), common)
+            (one, two), _ = N.sketches(values, offsets)
             differ = sum(int(x).bit_count() for x in np.bitwise_xor(one, two).view(np.uint64))
             assert differ <= len(a) + len(b) - 2 * common
 
 
+def test_large_sketches_fold_and_never_rule_out_similar_sets(spark):
+    from pyspark.sql import functions as F
+
+    dice, t = np.random.default_rng(5), Fraction(4, 5)
+    rows, exact = [], []
+    for size, edits in ((1000, 90), (1040, 100), (2100, 200), (3000, 2500), (5000, 20), (700, 0), (1030, 8)):
+        a = np.unique(dice.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[edits // 2 :], dice.integers(0, 2**63, edits // 2).astype(np.uint64)]))
+        _, (x, y) = N.sketches(np.concatenate([a, b]), np.asarray([0, len(a), len(a) + len(b)]))
+        rows.append((len(rows), {"n": len(a), "l": x.tolist()}, {"n": len(b), "l": y.tolist()}))
+        common = len(np.intersect1d(a, b))
+        exact.append(Fraction(common, len(a) + len(b) - common) >= t)
+    df = spark.createDataFrame(rows, "id int, a struct<n: bigint, l: array<bigint>>, b struct<n: bigint, l: array<bigint>>")
+    got = [r.ok for r in df.select("id", N.near_large(F.col("a"), F.col("b"), t).alias("ok")).orderBy("id").collect()]
+    assert all(g or not e for g, e in zip(got, exact, strict=True)) and not got[3]
+
+
 def test_a_chain_of_near_copies_is_one_component(spark):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[i:] + [f"x{k}" for k in range(i)])) for i in range(40)]
