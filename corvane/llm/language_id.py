@@ -1,8 +1,8 @@
 """Language identification by compression.
 
-For each language a zstandard dictionary of raw content is filled with texts in it.  A text is cut into pieces, each is
-compressed with every language's dictionary, and the language whose dictionary gives the fewest bytes in all is chosen.
-Where the margin is narrow the text is rejected.
+For each language a zstandard dictionary of raw content is filled with texts in it.  A text, in lower case and without ASCII
+punctuation and digits, is cut into pieces, each is compressed with every language's dictionary, and the language whose
+dictionary gives the fewest bytes in all is chosen.  Where the margin is narrow the text is rejected.
 
 Learning reads every training row to learn how much there is, then brings a sample to the driver: rows at a level of a
 hash of their id or above, the lowest level at which a language's sample has at most ``SAMPLE_CHARS`` characters.  So
@@ -23,7 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import level
+from .common import level, small_batches
+from .words import LETTERS
 
 #: Characters of a language's sample, at most, and bytes of its dictionary, at most.
 SAMPLE_CHARS, DICTIONARY_BYTES = 200_000, 32_768
@@ -32,7 +33,7 @@ LANGUAGES = 200
 #: Bytes of a piece that is compressed by itself, and zstandard's level.
 PIECE, LEVEL = 4096, 9
 #: Scores below this are rejected.
-LEAST_SCORE = 0.6
+LEAST_SCORE = 0.5
 UNKNOWN = "und"
 
 
@@ -67,11 +68,16 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang", sample_ch
     sample = rows.filter(F.col("level") >= F.try_element_at(least, F.col("lang"))).select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
     texts: dict[str, list] = {name: [] for name in lowest}
     for row in sample.collect():
-        texts[row.lang].append((hashlib.md5(str(row.doc_id).encode()).digest(), row.text.lower()))
-    contents = ["\n".join(dict.fromkeys(t for _, t in sorted(texts[name]))).encode()[-dictionary_bytes:] for name in lowest]
+        texts[row.lang].append((hashlib.md5(str(row.doc_id).encode()).digest(), letters(row.text)))
+    contents = [b"\n".join(dict.fromkeys(t for _, t in sorted(texts[name])))[-dictionary_bytes:] for name in lowest]
     return Model(tuple(lowest), tuple(contents))
 
 
+def letters(text: str) -> bytes:
+    """What is compressed of a text: its words in lower case."""
+    return b" ".join(text.lower().encode("utf-8").translate(LETTERS).split())
+
+
 _LOADED: dict[str, list] = {}
 
 
@@ -92,7 +98,7 @@ def classify(model: Model, text: str | None, compressors: list | None = None) ->
     if not text or not model.languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     compressors = compressors or _compressors(model)
-    data = text.lower().encode("utf-8")
+    data = letters(text)
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
     sizes = [sum(len(compress(p)) for p in pieces) for compress in compressors]
     best = min(sizes)
@@ -110,6 +116,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", least_score: float
         pairs = [classify(shared.value, x.as_py(), compressors) for x in column]
         return pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], ["lang_pred", "score"])
 
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in names]
     out = df.select(*kept, predicted(F.col(text)).alias("__p"))
     rejected = (F.col("__p.lang_pred") == UNKNOWN) | (F.col("__p.score") < least_score)
