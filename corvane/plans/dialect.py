@@ -21,7 +21,7 @@ from corvane.functions import intervals
 from corvane.functions import scalar as S
 from corvane.functions.types import DialectError, NotSupported, TypeMismatch, family, spark_type
 
-from .grammar import Node, Query, Select, SetOp, Statement, Values, parse
+from .grammar import Node, Query, Select, Statement, Values, parse
 
 _NUMBERS = ("integer", "double", "real", "numeric")
 _TIMES = ("date", "time", "timestamp", "timestamptz", "interval", "uuid", "bytea")
