@@ -30,6 +30,8 @@ from .common import SPACES, WORD, stored
 
 #: Words of the shortest run of lines that is deleted where it repeats.
 LEAST_WORDS = 50
+#: Deleted ranges up to which their table is broadcast, 16 bytes each beside an id.
+FEW = 500_000
 ADDED = ("n_lines", "n_removed")
 
 
@@ -59,8 +61,12 @@ def windows(each: DataFrame, least_words: int) -> DataFrame:
 
 
 def _several(rows: DataFrame, key: str, place: str) -> DataFrame:
-    """Keys with more than one place, and the first.  Pre-aggregated: no group comes together in a task."""
-    return rows.groupBy(F.col(key).alias("__key")).agg(F.min(place).alias("__first"), F.max(place).alias("__last")).filter("__first < __last").drop("__last")
+    """Keys with more than one place, and the first.  Pre-aggregated: no group comes together in a task.
+
+    Stored, so that a join with it deals both sides anew and can split a key with many places over tasks.
+    """
+    found = rows.groupBy(F.col(key).alias("__key")).agg(F.min(place).alias("__first"), F.max(place).alias("__last")).filter("__first < __last").drop("__last")
+    return stored(found)
 
 
 def deleted(df: DataFrame, least_words: int = LEAST_WORDS, text: str = "text") -> DataFrame:
@@ -90,7 +96,10 @@ def _full(line: Column) -> Column:
 def dedup_lines(df: DataFrame, least_words: int = LEAST_WORDS, text: str = "text") -> DataFrame:
     """df with its texts cut, and n_lines and n_removed: lines that are not blank, before and deleted."""
     kept = [c for c in df.columns if c not in ADDED]
-    gone = deleted(df, least_words, text).withColumnsRenamed({"doc_id": "__id", "doc": "__doc", "gone": "__gone"})
+    gone = stored(deleted(df, least_words, text).withColumnsRenamed({"doc_id": "__id", "doc": "__doc", "gone": "__gone"}))
+    # few ranges go to the texts; many and the texts are dealt out by document
+    if (gone.agg(F.sum(F.size("__gone")).alias("n")).first().n or 0) <= FEW:
+        gone = F.broadcast(gone)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__doc"))
     both = df.select(*kept, F.xxhash64(text).alias("__own")).join(gone, same, "left")
     split = F.split(F.col(text), "\n")
