@@ -39,7 +39,8 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the smallest id."""
     found = stored(ngram_join.join(docs.select("doc_id", "text"), WORDS, THRESHOLD))
-    left = docs.join(found.filter("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(found.filter("component_id <> doc_id").select("doc_id").distinct())
+    left = docs.join(F.broadcast(gone) if gone.count() <= ngram_join.FEW else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     if repeated.take(1):
         once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
