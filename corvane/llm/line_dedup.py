@@ -66,7 +66,7 @@ def _several(rows: DataFrame, key: str, place: str) -> DataFrame:
     Stored, so that a join with it deals both sides anew and can split a key with many places over tasks.
     """
     found = rows.groupBy(F.col(key).alias("__key")).agg(F.min(place).alias("__first"), F.max(place).alias("__last")).filter("__first < __last").drop("__last")
-    return stored(found)
+    return stored(found).hint("merge")
 
 
 def deleted(df: DataFrame, least_words: int = LEAST_WORDS, text: str = "text") -> DataFrame:
