@@ -6,8 +6,11 @@ conditional probabilities is the document's score, and the mean over its tokens
 The network: each neighbour's embedding, by its distance, is summed and put through tanh; a first softmax gives the
 token's class and a second, of that class, its place within the class.  It is written and trained in numpy.
 
-The corpus: words are counted over all documents, and the most frequent make the vocabulary (its size is a parameter; all
-other words are one token).  Training sees every document once: in each of ``ROUNDS`` rounds every task starts from the
+The corpus: words are counted over all documents, and every word with ``LEAST`` places is in the vocabulary.  The network's
+tokens grow with the root of the vocabulary: the most frequent words have one each, and those after them share the last
+quarter by bands of frequency.  A word's probability is its token's times its share of the token, by counts.  Words below
+``LEAST`` are one token to the network, and their share is the probability of their spelling: a chain of bytes, each given
+the one before, counted over all such words of the corpus.  Training sees every document once: in each of ``ROUNDS`` rounds every task starts from the
 shared weights, takes Adagrad steps over the documents it reads whose hash is in that round, and hands its weights on,
 weighted by its tokens.  They are averaged by place in the cluster, so the driver gets one set of weights for all tasks.
 
@@ -31,14 +34,25 @@ from .common import small_batches
 #: Neighbours on each side, width of the network, classes and words of a class, tokens of a step.
 REACH, WIDTH, CLASSES, STEP = 2, 16, 32, 8192
 ROUNDS, RATE, SEED = 2, 0.15, 5
-VOCABULARY = CLASSES * CLASSES - 1  # and one place for all other words
+#: A network for n words has as many classes as the root of n by this, and CLASSES at least.
+ROOT = 8
+#: Places of a word of the vocabulary, at least.
+LEAST = 10
+#: The token of all other words, and what stands beyond a text's ends: the last embedding.
+OTHER, OUTSIDE = 0, -1
 OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 
 
 class Network:
-    def __init__(self, vector: np.ndarray | None = None):
-        size = CLASSES * CLASSES + 1  # the last stands beyond a text's ends
-        self.shapes = {"embed": (len(OFFSETS), size, WIDTH), "top": (WIDTH, CLASSES), "top_bias": (CLASSES,), "low": (CLASSES, WIDTH, CLASSES), "low_bias": (CLASSES, CLASSES)}
+    """Classes of ``CLASSES`` words; how many, a vector of weights tells by its length."""
+
+    def __init__(self, vector: np.ndarray | None = None, classes: int = CLASSES):
+        beyond = len(OFFSETS) * WIDTH
+        if vector is not None:
+            classes = (len(vector) - beyond) // (CLASSES * beyond + (WIDTH + 1) * (1 + CLASSES))
+        self.classes = classes
+        size = classes * CLASSES + 1  # the last stands beyond a text's ends
+        self.shapes = {"embed": (len(OFFSETS), size, WIDTH), "top": (WIDTH, classes), "top_bias": (classes,), "low": (classes, WIDTH, CLASSES), "low_bias": (classes, CLASSES)}
         total = sum(int(np.prod(s)) for s in self.shapes.values())
         if vector is None:
             vector = np.random.default_rng(SEED).normal(0, 0.1, total)
@@ -70,7 +84,7 @@ class Network:
             h, (high, low) = self._hidden(context[own]), np.divmod(target[own], CLASSES)
             out[own] = self._log_softmax(h @ self.part["top"] + self.part["top_bias"])[np.arange(len(h)), high]
             order = np.argsort(high, kind="stable")
-            cuts = np.searchsorted(high[order], np.arange(CLASSES + 1))
+            cuts = np.searchsorted(high[order], np.arange(self.classes + 1))
             for c in np.flatnonzero(np.diff(cuts)):
                 rows = order[cuts[c] : cuts[c + 1]]
                 z = self._log_softmax(h[rows] @ self.part["low"][c] + self.part["low_bias"][c])
@@ -94,7 +108,7 @@ class Network:
         slope["top"][:], slope["top_bias"][:] = h.T @ e, e.sum(axis=0)
         back = e @ self.part["top"].T
         order = np.argsort(high, kind="stable")
-        cuts = np.searchsorted(high[order], np.arange(CLASSES + 1))
+        cuts = np.searchsorted(high[order], np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[c] : cuts[c + 1]]
             e = -np.exp(self._log_softmax(h[rows] @ self.part["low"][c] + self.part["low_bias"][c]))
@@ -104,23 +118,50 @@ class Network:
         back *= 1 - h * h
         size, places = self.shapes["embed"][1], np.arange(WIDTH)
         for o in range(len(OFFSETS)):
-            cell = (context[:, o, None] * WIDTH + places).ravel()
+            cell = (context[:, o, None] % size * WIDTH + places).ravel()
             slope["embed"][o] = np.bincount(cell, back.ravel(), size * WIDTH).reshape(size, WIDTH)
         change /= n
         self.seen += change * change
         self.vector += np.float32(RATE) * change / np.sqrt(self.seen)
 
 
-def windows(words: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, targets) of every token.  vocabulary: hashes, ascending; place: the token of each."""
-    other, outside = CLASSES * CLASSES - 1, CLASSES * CLASSES
-    at = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
-    tokens = np.where(vocabulary[at] == words, place[at], other) if len(vocabulary) else np.full(len(words), other)
+def tokens(words: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, places in the vocabulary, -1 for words that it hasn't).  vocabulary: hashes, ascending; place: the token of each."""
+    if not len(vocabulary):
+        return np.full(len(words), OTHER, np.int64), np.full(len(words), -1, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    known = vocabulary[at] == words
+    return np.where(known, place[at], OTHER).astype(np.int64), np.where(known, at, -1)
+
+
+def contexts(own: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The neighbours of every token."""
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    padded = np.full(len(words) + REACH * (len(offsets) + 1), outside, np.int64)
-    spot = np.arange(len(words)) + REACH * (text + 1)
-    padded[spot] = tokens
-    return np.stack([padded[spot + o] for o in OFFSETS], axis=1), tokens
+    padded = np.full(len(own) + REACH * (len(offsets) + 1), OUTSIDE, np.int64)
+    spot = np.arange(len(own)) + REACH * (text + 1)
+    padded[spot] = own
+    return np.stack([padded[spot + o] for o in OFFSETS], axis=1)
+
+
+def windows(words: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, targets) of every token."""
+    own, _ = tokens(words, vocabulary, place)
+    return contexts(own, offsets), own
+
+
+#: Bytes as they are spelled: lower case, and one white space.
+_SPELLED = bytes(32 if b in W._SPACE.nonzero()[0] else W.LOWER[b] for b in range(256))
+
+
+def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, starts): each byte with the one before it, as one number, and where the words of W.hashes start."""
+    data = np.frombuffer((b"\n".join(texts) + b"\n").translate(_SPELLED), np.uint8)
+    pairs = data.astype(np.int32)
+    pairs[1:] += data[:-1].astype(np.int32) << 8
+    pairs[0] += 32 << 8
+    first = data != 32
+    first[1:] &= data[:-1] == 32
+    return pairs, np.flatnonzero(first)
 
 
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -148,41 +189,103 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, tokens) of the most frequent words; a class has words of all frequencies."""
-    top = counts(df, text).orderBy(F.desc("n"), "word").limit(size).collect()
-    word = np.asarray([r.word for r in top], np.int64).view(np.uint64)
-    rank = np.arange(len(top))
+class Words(tuple):
+    """(hashes, tokens) of the vocabulary, and the logarithm of each word's share of its token."""
+
+    share: np.ndarray
+
+
+def classes_for(words: int) -> int:
+    """Classes of the network for so many words, growing with their root."""
+    return max(CLASSES, int(np.ceil(np.sqrt(words) / ROOT)))
+
+
+def vocabulary(df: DataFrame, text: str = "text", least: int = LEAST) -> Words:
+    """All words with so many places; a class has words of all frequencies."""
+    got = counts(df, text).filter(F.col("n") >= least).toArrow()
+    word, n = (got.column(c).to_numpy() for c in ("word", "n"))
+    order = np.lexsort((word, -n))
+    word, n = word[order].view(np.uint64), n[order]
+    classes = classes_for(len(word))
+    size = classes * CLASSES
+    slot = np.arange(1, len(word) + 1)  # OTHER has the first
+    if len(word) >= size:
+        alone = size - 1 - size // 4
+        through = np.cumsum(n[alone:])
+        slot[alone:] = 1 + alone + (through - n[alone:]) * (size // 4) // through[-1]
+    share = np.log(n / np.bincount(slot, n)[slot]) if len(n) else np.zeros(0)
     order = np.argsort(word)
-    return word[order], ((rank % CLASSES) * CLASSES + rank // CLASSES)[order]
+    out = Words((word[order], ((slot % classes) * CLASSES + slot // classes)[order].astype(np.int32)))
+    out.share = share[order].astype("f4")
+    return out
+
+
+def spelling(df: DataFrame, words: Words, text: str = "text") -> np.ndarray:
+    """The log-probability of each byte after each other, as spelled() numbers them, from all words that the vocabulary hasn't."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(words[0])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = shared.value, np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for group in W.groups(x.as_py() for x in batch.column(0)):
+                hashed, _ = W.hashes(group)
+                if not len(hashed):
+                    continue
+                pairs, starts = spelled(group)
+                rare = tokens(hashed, known, np.zeros(len(known), np.int32))[1] < 0
+                total += np.bincount(pairs[starts[0] :][np.repeat(rare, np.diff(np.append(starts, len(pairs))))], minlength=1 << 16)
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(total[pair])], names=["pair", "n"])
+
+    got = df.select(text).mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    n = np.ones(1 << 16)
+    n[got.column("pair").to_numpy()] += got.column("n").to_numpy()
+    n = n.reshape(256, 256)
+    n[32, 32] = 0
+    out = np.log(np.maximum(n, 1e-300) / n.sum(axis=1, keepdims=True))
+    out[32, 32] = 0  # between words
+    return out.ravel()
+
+
+def shares(texts: list[bytes], at: np.ndarray, share: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The log-probability of each word given its token: its share, or its spelling where the vocabulary hasn't it."""
+    if not len(at):
+        return np.zeros(0)
+    out = share[at].astype("f8") if len(share) else np.zeros(len(at))
+    rare = at < 0
+    if rare.any():
+        pairs, starts = spelled(texts)
+        out[rare] = np.add.reduceat(table[pairs], starts)[rare]
+    return out
 
 
 def train(df: DataFrame, words: tuple[np.ndarray, np.ndarray], text: str = "text", rounds: int = ROUNDS) -> Network:
     """A network trained on all rows of df(doc_id, text)."""
     small_batches(df.sparkSession)
-    net = Network()
+    net = Network(classes=classes_for(len(words[0])))
     for turn in range(rounds):
-        shared = df.sparkSession.sparkContext.broadcast((net.vector, *words))  # fixed by the sizes above
+        shared = df.sparkSession.sparkContext.broadcast((net.vector, *words))
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, known, place = shared.value  # noqa: B023
-            own, seen, contexts, targets = Network(start), 0, [], []
+            own, seen, around, targets = Network(start), 0, [], []
 
             def steps(last: bool) -> None:
                 nonlocal seen
-                if not contexts:
+                if not around:
                     return
-                context, target = np.concatenate(contexts), np.concatenate(targets)
+                context, target = np.concatenate(around), np.concatenate(targets)
                 full = len(target) if last else len(target) // STEP * STEP
                 for i in range(0, full, STEP):
                     own.learn(context[i : i + STEP], target[i : i + STEP])
                 seen += full
-                contexts[:], targets[:] = [context[full:]], [target[full:]]
+                around[:], targets[:] = [context[full:]], [target[full:]]
 
             for batch in batches:
                 for group in W.groups(x.as_py() for x in batch.column(0)):
                     context, target = windows(*W.hashes(group), known, place)
-                    contexts.append(context)
+                    around.append(context)
                     targets.append(target)
                     if sum(map(len, targets)) >= 8 * STEP:
                         steps(False)
@@ -201,19 +304,22 @@ def train(df: DataFrame, words: tuple[np.ndarray, np.ndarray], text: str = "text
     return net
 
 
-def score(df: DataFrame, words: tuple[np.ndarray, np.ndarray], net: Network, text: str = "text") -> DataFrame:
-    """df with n_tokens, log_likelihood and mean_log_likelihood."""
+def score(df: DataFrame, words: Words, net: Network, text: str = "text", table: np.ndarray | None = None) -> DataFrame:
+    """df with n_tokens, log_likelihood and mean_log_likelihood: of words, with the table of spelling(), or else of tokens alone."""
     names = ("n_tokens", "log_likelihood", "mean_log_likelihood")
-    shared = df.sparkSession.sparkContext.broadcast((net.vector, *words))
+    shared = df.sparkSession.sparkContext.broadcast((net.vector, *words, words.share, table))
 
     @F.arrow_udf("n bigint, total double")
     def scored(column: pa.Array) -> pa.Array:
-        vector, known, place = shared.value
+        vector, known, place, share, spells = shared.value
         own, sizes, totals = Network(vector), [], []
         for group in W.groups(x.as_py() for x in column):
             words_, offsets = W.hashes(group)
             size = np.diff(offsets)
-            each = own.score(*windows(words_, offsets, known, place))
+            target, at = tokens(words_, known, place)
+            each = own.score(contexts(target, offsets), target)
+            if spells is not None:
+                each += shares(group, at, share, spells)
             sizes.append(size)
             totals.append(np.bincount(np.repeat(np.arange(len(group)), size), each, len(group)))
         sizes, totals = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, totals))

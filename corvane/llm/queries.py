@@ -40,7 +40,8 @@ def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     words = lm_scoring.vocabulary(documents)
-    return lm_scoring.score(documents, words, lm_scoring.train(documents, words)).select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
+    net, table = lm_scoring.train(documents, words), lm_scoring.spelling(documents, words)
+    return lm_scoring.score(documents, words, net, table=table).select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
 
 
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -290,3 +290,28 @@ def test_lm_prefers_running_text_to_shuffled_words(spark):
         dice.shuffle(shuffled)
         pairs.append([lm_scoring.Network(net.vector).score(*lm_scoring.windows(*W.hashes([t.encode()]), *words)).mean() for t in (r.text, " ".join(shuffled))])
     assert np.mean([a > b for a, b in pairs]) > 0.6
+
+
+def test_lm_vocabulary_grows_and_every_word_has_its_own_probability(spark):
+    pool = [f"w{i}" for i in range(3000)]
+    rows = [(k, " ".join(pool[i] for i in range(3000) if k < 12 + i % 7)) for k in range(20)] + [(50, "rowing rowed rower mowing mowed tower"), (51, None)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = lm_scoring.vocabulary(documents)
+    known, place = words
+    assert len(known) == 3000 and len(lm_scoring.vocabulary(documents, least=1)[0]) == 3006
+    share = np.exp(words.share)
+    assert np.allclose(np.bincount(place, share)[np.unique(place)], 1, atol=1e-4) and lm_scoring.OTHER not in place
+    net, table = lm_scoring.Network(), lm_scoring.spelling(documents, words)
+    assert np.allclose(np.exp(table.reshape(256, 256)[97]).sum(), 1)
+    # words that the vocabulary hasn't differ by their spelling, in equal contexts
+    asked = spark.createDataFrame([(1, "mower"), (2, "zqxjk"), (3, "  Mower\n"), (4, None), (5, "w1 w2")], "doc_id bigint, text string")
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(asked, words, net, table=table).collect()}
+    assert got[1] > got[2] + 5 and got[1] == pytest.approx(got[3]) and got[4] == 0
+    alone = {r.doc_id: r.log_likelihood for r in lm_scoring.score(asked, words, net).collect()}
+    spelled = table.reshape(256, 256)
+    assert alone[1] == alone[2] and got[1] - alone[1] == pytest.approx(sum(spelled[a, b] for a, b in zip(b" mower", b"mower ", strict=True)))
+    assert got[5] - alone[5] == pytest.approx(sum(words.share[np.flatnonzero(known == h)[0]] for h in W.hashes([b"w1 w2"])[0]), abs=1e-4)
+    assert lm_scoring.classes_for(10**6) > lm_scoring.classes_for(10**5) > lm_scoring.CLASSES
+    empty = documents.limit(0)
+    none = lm_scoring.vocabulary(empty)
+    assert lm_scoring.score(documents, none, lm_scoring.train(empty, none), table=lm_scoring.spelling(empty, none)).count() == len(rows)
