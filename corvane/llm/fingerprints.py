@@ -3,7 +3,9 @@
 An anchor is a very common word.  The chain of the ``chain`` content words (words that aren't anchors) that follow an
 anchor is a spot signature, and a document's fingerprint is the set of its signatures: running text with function words
 makes many, lists and navigation few.  The document's start counts as an anchor too; a text without content words has all
-its words as its one signature; an empty text has none.  A fingerprint's string is that whole set, 32 bits to a
+its words as its one signature; an empty text has none.  Text without anchors (another language, tables, codes) is covered
+too: of every ``GAP`` content words in a row where no signature starts, the chain at the word with the smallest hash is one
+more, whatever stands before it.  A fingerprint's string is that whole set, 32 bits to a
 signature, ascending, in base 64.
 
 Likeness of two fingerprints is the Jaccard of their sets, 1 where both are empty.  :func:`similar` finds all pairs at or
@@ -34,6 +36,8 @@ from . import words as W
 from .common import small_batches
 
 CHAIN = 2
+#: Content words in a row without a signature, at most.
+GAP = 16
 #: The common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = """
 a an and are as at be by for from in is it of on or that the this to was with
@@ -44,8 +48,8 @@ con de del el en es la las lo los no para por que se su un una y
 _ANCHORS = np.unique(W.hashes([" ".join(ANCHORS).encode("utf-8")], W.LETTERS)[0])
 
 
-def signatures(texts: list[bytes], chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, offsets): each text's set of spot signatures as ascending 32-bit numbers."""
+def signatures(texts: list[bytes], chain: int = CHAIN, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, offsets): each text's set of spot signatures as ascending 32-bit numbers, and with gap those that fill gaps."""
     hashed, offsets = W.hashes(texts, W.LETTERS)
     anchor = np.isin(hashed, _ANCHORS)
     content = np.flatnonzero(~anchor)
@@ -62,6 +66,11 @@ def signatures(texts: list[bytes], chain: int = CHAIN) -> tuple[np.ndarray, np.n
         first = content[opens[content]]
         extra = np.searchsorted(content, starts[anchor[starts]]) if len(starts) else np.zeros(0, np.int64)
         at = np.unique(np.concatenate([np.searchsorted(content, first), extra[extra < len(content)]]))
+    if gap and len(content) >= gap:
+        spots = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(content)))])
+        of = text_of[content]
+        bare = np.flatnonzero((spots[gap:] == spots[:-gap]) & (of[gap - 1 :] == of[: len(of) - gap + 1]))
+        at = np.unique(np.concatenate([at, bare + hashed[content[bare[:, None] + np.arange(gap)]].argmin(axis=1)]))
     if len(at):
         links = np.minimum(at[:, None] + np.arange(chain), len(content) - 1)
         words = content[links]
@@ -112,7 +121,7 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", ch
     def made(column: pa.Array) -> pa.Array:
         out = []
         for group in W.groups(x.as_py() for x in column):
-            values, offsets = signatures(group, chain)
+            values, offsets = signatures(group, chain, GAP)
             out += [packed(values[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
         return pa.array(out, pa.string())
 
@@ -168,7 +177,7 @@ def _compared(pairs: Iterator[tuple[int | None, str, str]], chain: int) -> Itera
         data = [c.encode("utf-8") for c in changed]
         unique = list(dict.fromkeys(texts + data))  # the next text of one is mostly the text of the one after it
         place = {t: i for i, t in enumerate(unique)}
-        values, offsets = signatures(unique, chain)
+        values, offsets = signatures(unique, chain, GAP)
         values = values.astype("<u4")
         get = lambda t: values[offsets[(i := place[t])] : offsets[i + 1]]
         for k, (doc_id, t, _) in enumerate(held):

@@ -116,6 +116,23 @@ def test_against_next_in_order_of_ids(spark):
     assert fingerprints.against_next(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def test_fingerprints_cover_text_without_anchors(spark):
+    dice = random.Random(6)
+    head = "The and attion to thanedble the, anea. Eriner thanea.\n"
+    tables = [" | ".join("".join(dice.choice("bdfgkmprt") for _ in range(6)) for _ in range(120)) for _ in range(2)]
+    rows = [(0, tables[0]), (1, tables[1]), (2, head + tables[0]), (3, head + tables[1]), (4, "xx yy " + tables[0])]
+    got = {r.doc_id: fingerprints.unpacked(r.fingerprint) for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got[0]) >= 120 // fingerprints.GAP and fingerprints.likeness(got[2], got[3]) < 0.5
+    # what stands before makes no difference further on, and every stretch has a signature
+    assert fingerprints.likeness(got[0], got[4]) > 0.6
+    words = tables[0].split(" | ")
+    for i in range(2, 120 - 2 * fingerprints.GAP):
+        changed = words[:i] + ["zzzz"] * (fingerprints.GAP + 2) + words[i + fingerprints.GAP + 2 :]
+        assert len(np.setdiff1d(got[0], fingerprints.signatures([" ".join(changed).encode()], gap=fingerprints.GAP)[0]))
+    near = {r.doc_id: r.near_edited for r in fingerprints.against_next(spark.createDataFrame(rows[:2], "doc_id bigint, text string")).collect()}
+    assert near[0] < 0.8 and near[1] < 0.8
+
+
 def test_similar_fingerprints(spark):
     dice = random.Random(9)
     rows = []
