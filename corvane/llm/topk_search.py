@@ -38,6 +38,8 @@ from .common import level, stored
 BLOCK, LEAF, PIVOTS, PIVOT_ROWS = 2048, 48, 16, 1024
 #: Data blocks that each query block meets first.
 FIRST = 2
+#: What a bound may lose to rounding, as a part of the norms' product.
+ROUNDING = 1e-12
 #: Block pairs up to which their table is broadcast.
 FEW = 100_000
 
@@ -66,7 +68,8 @@ class CoverTree:
         out = BytesIO()
         counts = np.asarray([len(c) for c in self.children], np.int64)
         below = np.asarray([c for own in self.children for c in own], np.int64)
-        np.savez(out, order=self.order, points=self.points.astype("<i4"), ids=self.ids, at=self.at, radius=np.asarray(self.radius), span=np.asarray(self.span, np.int64), counts=counts, below=below)
+        wide = "<i8" if np.abs(self.points).max(initial=0) >= 2**31 else "<i4"
+        np.savez(out, order=self.order, points=self.points.astype(wide), ids=self.ids, at=self.at, radius=np.asarray(self.radius), span=np.asarray(self.span, np.int64), counts=counts, below=below)
         return out.getvalue()
 
     @classmethod
@@ -128,7 +131,7 @@ class CoverTree:
 
 def bound(c: np.ndarray, r: float, d: np.ndarray, s: np.ndarray, c_norm: float, d_norm: np.ndarray) -> np.ndarray:
     """At least the score of any two points within r of c and within s of d."""
-    return d @ c + r * d_norm + s * c_norm + r * s + 1e-3
+    return d @ c + r * d_norm + s * c_norm + r * s + 1e-3 + ROUNDING * (c_norm + r) * (d_norm + s)
 
 
 def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +297,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: int = 256, vec_id:
     def bounds(qc: pa.Array, qr: pa.Array, dc: pa.Array, dr: pa.Array) -> pa.Array:
         c, d = (np.frombuffer(b"".join(x.to_pylist()), "f8").reshape(len(x), -1) for x in (qc, dc))
         r, s = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in (qr, dr))
-        return pa.array((c * d).sum(axis=1) + r * np.sqrt((d**2).sum(axis=1)) + s * np.sqrt((c**2).sum(axis=1)) + r * s + 1e-3)
+        c_norm, d_norm = np.sqrt((c**2).sum(axis=1)), np.sqrt((d**2).sum(axis=1))
+        return pa.array((c * d).sum(axis=1) + r * d_norm + s * c_norm + r * s + 1e-3 + ROUNDING * (c_norm + r) * (d_norm + s))
 
     # every query block with every data block: as many rows as pairs of blocks, which are the tasks of the exact search
     heads = lambda t, p: t.select(*(F.col(c).alias(f"{p}_{c}") for c in ("block", "center", "radius")))

@@ -57,6 +57,13 @@ def test_top_k_edges(spark):
     assert search(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], 1) == [(0, 1, 1, 65536)]
 
 
+def test_top_k_of_components_beyond_32_bits(spark):
+    rows = [(0, [1e7, 0.0]), (1, [0.5, 1.0]), (2, [-0.5, 2.0]), (50, [0.25, 0.0]), (100, [0.0, 1.0]), (3, [-1e7, 0.0])]
+    assert search(spark, rows, 3) == plain(rows, 3)
+    x = np.asarray([[2**31, -(2**31) - 5], [2**40, 7]])
+    assert (np.sort(topk_search.CoverTree.unpack(topk_search.CoverTree(x, np.arange(2)[:, None]).pack()).points, axis=0) == np.sort(x, axis=0)).all()
+
+
 def test_cover_trees_cover():
     x = np.random.default_rng(4).normal(0, 60, (700, 8)).astype(np.int64)
     tree = topk_search.CoverTree(x, np.arange(700)[:, None])
