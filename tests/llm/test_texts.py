@@ -70,6 +70,29 @@ def test_appends_and_edits_agree_with_a_fresh_encoding():
     assert long.replace(100, 103, b"zz") < len(data) * 20
 
 
+def test_many_pieces_at_a_time_as_one_by_one():
+    vocabulary, dice = byte_bpe.Vocabulary.read(PATH), random.Random(12)
+    pieces = [bytes(dice.choice(b"abcdeinorst \xc3\xa9\xe6\x9d\xb1") for _ in range(dice.randrange(0, 40))) for _ in range(400)] + [b"", b"a" * 256, b" " * 256, b"ab" * 99]
+    for piece, packed in zip(pieces, vocabulary.encode_many(pieces), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == vocabulary.merged(piece) == byte_bpe.PrefixEncoder(vocabulary, piece).ids()
+    # ranks in another order than merging makes them: bytes are merged instead
+    odd = byte_bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"bc": 258, b"abcd": 259, b"cd": 260})
+    assert not odd.ordered
+    for piece in (b"abcd", b"abc", b"bcd", b"xabcdabc", b"cdcdab"):
+        assert odd.encode_many([piece]) == [np.asarray(odd.merged(piece), "<u4").tobytes()]
+
+
+def test_bpe_keeps_its_table_bounded(monkeypatch, reference):
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 100)
+    monkeypatch.setattr(byte_bpe, "TAKEN", 50)
+    t = byte_bpe.Tokenizer(byte_bpe.Vocabulary.read(PATH), public_tokenizers.PATTERN)
+    dice = random.Random(3)
+    texts = [" ".join("".join(dice.choice("abcdefgh") for _ in range(dice.randrange(1, 60))) for _ in range(dice.randrange(90))) for _ in range(60)] + [None, ""]
+    for text, packed in zip(texts, t.encode_many(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(text or "")
+        assert len(t._recent) + len(t._before) < 400
+
+
 # ---- fingerprints
 
 
