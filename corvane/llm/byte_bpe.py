@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .words import Table
 
 #: Distinct pieces whose ids a worker keeps (half of them from before, half recent), and the longest of them in characters.
 KEPT_PIECES, KEPT_LENGTH = 400_000, 32
@@ -39,40 +40,6 @@ PAIRS = 250_000
 MANY, TAKEN = 256, 200_000
 
 
-class Table:
-    """Numbers by distinct 64-bit keys, looked up many at a time: open addressing, at most a quarter full."""
-
-    def __init__(self, found: dict[int, int]):
-        self.bits = max(4, (4 * len(found)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
-        keys, values = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
-        spot = self._spot(keys)
-        while len(keys):
-            free = self.keys[spot] < 0
-            self.keys[spot[free]] = keys[free]  # of several keys one stays
-            there = self.keys[spot] == keys
-            self.values[spot[there]] = values[there]
-            keys, values, spot = keys[~there], values[~there], (spot[~there] + 1) & ((1 << self.bits) - 1)
-
-    def _spot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 where there is none."""
-        spot = self._spot(keys)
-        held = self.keys[spot]
-        out = np.where(held == keys, self.values[spot], -1)
-        on = np.flatnonzero((held != keys) & (held >= 0))
-        while len(on):
-            spot[on] = (spot[on] + 1) & ((1 << self.bits) - 1)
-            held = self.keys[spot[on]]
-            same = held == keys[on]
-            out[on[same]] = self.values[spot[on[same]]]
-            on = on[~same & (held >= 0)]
-        return out
-
-
 class Vocabulary:
     """Tokens' bytes and ranks, and which two tokens may stand next to each other.
 
@@ -173,7 +140,7 @@ class Vocabulary:
             length[np.fromiter(self.bytes.keys(), np.int64, len(self.bytes))] = np.fromiter(map(len, self.bytes.values()), np.int64, len(self.bytes))
             at = np.asarray([t if t >= 0 and self._alone[t] else -1 for t in self.token_at], np.int64)
             joined = {a << 32 | b: t for (a, b), t in self.joined.items()}
-            self._arrays = Table(self.edges), at, Table(joined), left, right, length
+            self._arrays = Table.of(self.edges), at, Table.of(joined), left, right, length
         return self._arrays
 
     def stand(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

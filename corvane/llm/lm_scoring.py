@@ -11,8 +11,9 @@ tokens grow with the root of the vocabulary: the most frequent words have one ea
 quarter by bands of frequency.  A word's probability is its token's times its share of the token, by counts.  Words below
 ``LEAST`` are one token to the network, and their share is the probability of their spelling: a chain of bytes, each given
 the one before, counted over all such words of the corpus.  Training sees every document once: in each of ``ROUNDS`` rounds every task starts from the
-shared weights, takes Adagrad steps over the documents it reads whose hash is in that round, and hands its weights on,
-weighted by its tokens.  They are averaged by place in the cluster, so the driver gets one set of weights for all tasks.
+shared weights, takes Adagrad steps over the documents it reads whose hash is in that round, and hands its weights on as
+one vector, weighted by its tokens.  The vectors of some tasks each are summed in the cluster, so that the driver adds no
+more of them than the root of the number of tasks.  The result so depends on how the table is split into tasks.
 
 Defined results: words are runs of characters other than space and tab to carriage return, A-Z in lower case; a null or
 empty text has no tokens, score 0 and no mean; equal texts have equal scores, up to the last bits that batching changes;
@@ -32,7 +33,7 @@ from . import words as W
 from .common import small_batches
 
 #: Neighbours on each side, width of the network, classes and words of a class, tokens of a step.
-REACH, WIDTH, CLASSES, STEP = 2, 16, 32, 8192
+REACH, WIDTH, CLASSES, STEP = 3, 16, 32, 4096
 ROUNDS, RATE, SEED = 2, 0.15, 5
 #: A network for n words has as many classes as the root of n by this, and CLASSES at least.
 ROOT = 8
@@ -71,24 +72,43 @@ class Network:
         return np.tanh(h, out=h)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+    def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exponents, their sums) of each row of z; z is moved by a row's maximum where numbers would not hold them."""
+        with np.errstate(over="ignore"):
+            e = np.exp(z)
+        total = e @ np.ones(z.shape[1], "f4")
+        if not (len(total) == 0 or (np.isfinite(total).all() and total.min() > 1e-30)):
+            z -= z.max(axis=1, keepdims=True)
+            e = np.exp(z)
+            total = e.sum(axis=1)
+        return e, total
+
+    def _forward(self, context: np.ndarray, target: np.ndarray) -> tuple:
+        """Rows in the order of their class: order, cuts, hidden, class, place in it, and both logits."""
+        high, low = np.divmod(target, CLASSES)
+        order = np.argsort(high.astype(np.uint16) if self.classes <= 1 << 16 else high, kind="stable")
+        high, low = high[order], low[order]
+        cuts = np.searchsorted(high, np.arange(self.classes + 1))
+        h = self._hidden(context[order])
+        top = h @ self.part["top"]
+        top += self.part["top_bias"]
+        within = self.part["low_bias"][high]
+        for c in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[c], cuts[c + 1])
+            within[own] += h[own] @ self.part["low"][c]
+        return order, cuts, h, high, low, top, within
 
     def score(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log-probability of each target."""
         out = np.zeros(len(target))
         for start in range(0, len(target), STEP):
             own = slice(start, start + STEP)
-            h, (high, low) = self._hidden(context[own]), np.divmod(target[own], CLASSES)
-            out[own] = self._log_softmax(h @ self.part["top"] + self.part["top_bias"])[np.arange(len(h)), high]
-            order = np.argsort(high, kind="stable")
-            cuts = np.searchsorted(high[order], np.arange(self.classes + 1))
-            for c in np.flatnonzero(np.diff(cuts)):
-                rows = order[cuts[c] : cuts[c + 1]]
-                z = self._log_softmax(h[rows] @ self.part["low"][c] + self.part["low_bias"][c])
-                out[start + rows] += z[np.arange(len(rows)), low[rows]]
+            order, _, h, high, low, top, within = self._forward(context[own], target[own])
+            rows, each = np.arange(len(h)), np.zeros(len(h))
+            for z, pick in ((top, high), (within, low)):
+                _, total = self._exponents(z)
+                each += z[rows, pick] - np.log(total)
+            out[start + order] = each
         return out
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
@@ -96,42 +116,61 @@ class Network:
         if self.seen is None:
             self.seen = np.full(len(self.vector), 1e-6, "f4")
         n = len(target)
-        h, (high, low) = self._hidden(context), np.divmod(target, CLASSES)
+        order, cuts, h, high, low, top, within = self._forward(context, target)
+        context, rows = context[order], np.arange(n)
         change = np.zeros(len(self.vector), "f4")
         slope, at = {}, 0
         for name, shape in self.shapes.items():
             size = int(np.prod(shape))
             slope[name] = change[at : at + size].reshape(shape)
             at += size
-        e = -np.exp(self._log_softmax(h @ self.part["top"] + self.part["top_bias"]))
-        e[np.arange(n), high] += 1
-        slope["top"][:], slope["top_bias"][:] = h.T @ e, e.sum(axis=0)
+        errors = []
+        for z, pick in ((top, high), (within, low)):
+            e, total = self._exponents(z)
+            e /= -total[:, None]
+            e[rows, pick] += 1
+            errors.append(e)
+        e, f = errors
+        slope["top"][:], slope["top_bias"][:] = h.T @ e, np.ones(n, "f4") @ e
         back = e @ self.part["top"].T
-        order = np.argsort(high, kind="stable")
-        cuts = np.searchsorted(high[order], np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            e = -np.exp(self._log_softmax(h[rows] @ self.part["low"][c] + self.part["low_bias"][c]))
-            e[np.arange(len(rows)), low[rows]] += 1
-            slope["low"][c], slope["low_bias"][c] = h[rows].T @ e, e.sum(axis=0)
-            back[rows] += e @ self.part["low"][c].T
+            own = slice(cuts[c], cuts[c + 1])
+            slope["low"][c], slope["low_bias"][c] = h[own].T @ f[own], np.ones(cuts[c + 1] - cuts[c], "f4") @ f[own]
+            back[own] += f[own] @ self.part["low"][c].T
         back *= 1 - h * h
-        size, places = self.shapes["embed"][1], np.arange(WIDTH)
+        back /= n
+        dense = slice(int(np.prod(self.shapes["embed"])), None)
+        self._move(self.vector[dense], self.seen[dense], change[dense] / np.float32(n))
+        # of the embeddings only those that occur
+        size = self.shapes["embed"][1]
+        seen = self.seen[: dense.start].reshape(self.shapes["embed"])
         for o in range(len(OFFSETS)):
-            cell = (context[:, o, None] % size * WIDTH + places).ravel()
-            slope["embed"][o] = np.bincount(cell, back.ravel(), size * WIDTH).reshape(size, WIDTH)
-        change /= n
-        self.seen += change * change
-        self.vector += np.float32(RATE) * change / np.sqrt(self.seen)
+            cell = context[:, o] % size
+            order = np.argsort(cell.astype(np.uint16) if size <= 1 << 16 else cell, kind="stable")
+            cell = cell[order]
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            rows, slopes = cell[starts], np.add.reduceat(back[order], starts, axis=0)
+            weights, squares = self.part["embed"][o][rows], seen[o][rows]
+            self._move(weights, squares, slopes)
+            self.part["embed"][o][rows], seen[o][rows] = weights, squares
+
+    @staticmethod
+    def _move(weights: np.ndarray, seen: np.ndarray, slope: np.ndarray) -> None:
+        seen += slope * slope
+        weights += np.float32(RATE) * slope / np.sqrt(seen)
+
+
+def tokens(words: np.ndarray, known: W.Table, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, places in the vocabulary, -1 for words that it hasn't).  known: the place of each hash; place: the token of each."""
+    at = known.get(words).astype(np.int64)
+    if not len(place):
+        return np.full(len(words), OTHER, np.int64), at
+    return np.where(at >= 0, place[at], OTHER).astype(np.int64), at
 
 
-def tokens(words: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, places in the vocabulary, -1 for words that it hasn't).  vocabulary: hashes, ascending; place: the token of each."""
-    if not len(vocabulary):
-        return np.full(len(words), OTHER, np.int64), np.full(len(words), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    known = vocabulary[at] == words
-    return np.where(known, place[at], OTHER).astype(np.int64), np.where(known, at, -1)
+def places(vocabulary: np.ndarray) -> W.Table:
+    """The place of each hash."""
+    return W.Table(vocabulary, np.arange(len(vocabulary)))
 
 
 def contexts(own: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -143,7 +182,7 @@ def contexts(own: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([padded[spot + o] for o in OFFSETS], axis=1)
 
 
-def windows(words: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: np.ndarray, offsets: np.ndarray, vocabulary: W.Table, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(contexts, targets) of every token."""
     own, _ = tokens(words, vocabulary, place)
     return contexts(own, offsets), own
@@ -226,14 +265,14 @@ def spelling(df: DataFrame, words: Words, text: str = "text") -> np.ndarray:
     shared = df.sparkSession.sparkContext.broadcast(words[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = shared.value, np.zeros(1 << 16, np.int64)
+        known, total = places(shared.value), np.zeros(1 << 16, np.int64)
         for batch in batches:
             for group in W.groups(x.as_py() for x in batch.column(0)):
                 hashed, _ = W.hashes(group)
                 if not len(hashed):
                     continue
                 pairs, starts = spelled(group)
-                rare = tokens(hashed, known, np.zeros(len(known), np.int32))[1] < 0
+                rare = known.get(hashed) < 0
                 total += np.bincount(pairs[starts[0] :][np.repeat(rare, np.diff(np.append(starts, len(pairs))))], minlength=1 << 16)
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(total[pair])], names=["pair", "n"])
@@ -260,6 +299,19 @@ def shares(texts: list[bytes], at: np.ndarray, share: np.ndarray, table: np.ndar
     return out
 
 
+def _batch(value: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([value.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["value", "n"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = 0.0, 0
+    for batch in batches:
+        for value, seen in zip(batch.column(0), batch.column(1), strict=True):
+            total, n = total + np.frombuffer(value.as_buffer(), "f8"), n + seen.as_py()
+    if n:
+        yield _batch(total, n)
+
+
 def train(df: DataFrame, words: tuple[np.ndarray, np.ndarray], text: str = "text", rounds: int = ROUNDS) -> Network:
     """A network trained on all rows of df(doc_id, text)."""
     small_batches(df.sparkSession)
@@ -268,8 +320,8 @@ def train(df: DataFrame, words: tuple[np.ndarray, np.ndarray], text: str = "text
         shared = df.sparkSession.sparkContext.broadcast((net.vector, *words))
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, known, place = shared.value  # noqa: B023
-            own, seen, around, targets = Network(start), 0, [], []
+            start, hashed, place = shared.value  # noqa: B023
+            known, own, seen, around, targets = places(hashed), Network(start), 0, [], []
 
             def steps(last: bool) -> None:
                 nonlocal seen
@@ -291,16 +343,17 @@ def train(df: DataFrame, words: tuple[np.ndarray, np.ndarray], text: str = "text
                         steps(False)
             steps(True)
             if seen:
-                value = own.vector.astype("f8") * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value), pa.array(np.full(len(value), seen, np.int64))], names=["place", "value", "n"])
+                yield _batch(own.vector.astype("f8") * seen, seen)
 
         part = df.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(rounds)) == turn).select(text)
-        summed = part.mapInArrow(fit, "place int, value double, n bigint").groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value"))
-        got = summed.toPandas()  # as many rows as the network has weights
-        if len(got):
-            vector = net.vector.copy()
-            vector[got["place"].to_numpy()] = got["value"].to_numpy()
-            net = Network(vector)
+        # one vector of each task; as many sums of some of them as there are vectors in one
+        fitted = part.mapInArrow(fit, "value binary, n bigint")
+        tasks = max(1, int(np.sqrt(fitted.rdd.getNumPartitions())))
+        total, n = 0.0, 0
+        for row in fitted.repartition(tasks).mapInArrow(_summed, "value binary, n bigint").toLocalIterator():
+            total, n = total + np.frombuffer(row.value, "f8"), n + row.n
+        if n:
+            net = Network(total / n)
     return net
 
 
@@ -309,10 +362,14 @@ def score(df: DataFrame, words: Words, net: Network, text: str = "text", table:
     names = ("n_tokens", "log_likelihood", "mean_log_likelihood")
     shared = df.sparkSession.sparkContext.broadcast((net.vector, *words, words.share, table))
 
+    made: list = []  # once in a task
+
     @F.arrow_udf("n bigint, total double")
     def scored(column: pa.Array) -> pa.Array:
-        vector, known, place, share, spells = shared.value
-        own, sizes, totals = Network(vector), [], []
+        vector, hashed, place, share, spells = shared.value
+        if not made:
+            made.extend((Network(vector), places(hashed)))
+        (own, known), sizes, totals = made, [], []
         for group in W.groups(x.as_py() for x in column):
             words_, offsets = W.hashes(group)
             size = np.diff(offsets)

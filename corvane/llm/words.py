@@ -21,6 +21,44 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+class Table:
+    """Numbers, none below 0, by distinct 64-bit keys, looked up many at a time: open addressing, at most a quarter full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        keys, values = keys.view(np.uint64), np.asarray(values, np.int32)
+        spot = self._spot(keys)
+        while len(keys):
+            free = self.values[spot] < 0
+            self.keys[spot[free]] = keys[free]  # of several keys one stays
+            self.values[spot[free]] = 0
+            there = free & (self.keys[spot] == keys)
+            self.values[spot[there]] = values[there]
+            keys, values, spot = keys[~there], values[~there], (spot[~there] + 1) & ((1 << self.bits) - 1)
+
+    @classmethod
+    def of(cls, found: dict[int, int]) -> Table:
+        return cls(np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found)))
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        keys = keys.view(np.uint64)
+        spot = self._spot(keys)
+        out, same = self.values[spot], self.keys[spot] == keys
+        on = np.flatnonzero(~same & (out >= 0))
+        while len(on):
+            spot[on] = (spot[on] + 1) & ((1 << self.bits) - 1)
+            held = self.values[spot[on]]
+            out[on] = held
+            on = on[(held >= 0) & (self.keys[spot[on]] != keys[on])]
+        return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     with np.errstate(over="ignore"):

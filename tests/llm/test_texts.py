@@ -292,7 +292,7 @@ def test_lm_scores_are_sums_of_conditional_log_probabilities(spark):
     rows = [(1, documents.first().text), (2, None), (3, ""), (4, "word")]
     got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), words, net).collect()}
     assert (got[2].n_tokens, got[2].log_likelihood, got[2].mean_log_likelihood) == (0, 0.0, None) and got[4].n_tokens == 1
-    context, target = lm_scoring.windows(*W.hashes([rows[0][1].encode()]), *words)
+    context, target = lm_scoring.windows(*W.hashes([rows[0][1].encode()]), lm_scoring.places(words[0]), words[1])
     total = 0.0
     for c, t in zip(context, target, strict=True):
         h = np.tanh(sum(net.part["embed"][o][c[o]] for o in range(len(c))))
@@ -305,7 +305,7 @@ def test_lm_scores_are_sums_of_conditional_log_probabilities(spark):
 
 def test_lm_gradient_is_right():
     dice = np.random.default_rng(3)
-    context, target = dice.integers(0, 1025, (50, 4)), dice.integers(0, 1024, 50)
+    context, target = dice.integers(0, 1025, (50, len(lm_scoring.OFFSETS))), dice.integers(0, 1024, 50)
     net = lm_scoring.Network()
     before = net.vector.copy()
     net.learn(context, target)
@@ -319,17 +319,22 @@ def test_lm_gradient_is_right():
         assert abs(ends[0] - ends[1]) / 0.1 == pytest.approx(slope[place], rel=0.05, abs=1e-4)
 
 
-def test_lm_prefers_running_text_to_shuffled_words(spark):
+def test_lm_prefers_prose_to_shuffled_words_and_random_letters(spark):
+    """Of the mean log-likelihoods, that of a text is above that of its words in any order, and above all random letters."""
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     words = lm_scoring.vocabulary(documents)
-    net = lm_scoring.train(documents, words)
+    net, table = lm_scoring.train(documents, words), lm_scoring.spelling(documents, words)
     dice = random.Random(0)
-    pairs = []
-    for r in documents.filter(F.length("text").between(1500, 6000)).limit(60).collect():
-        shuffled = r.text.split(" ")
+    prose = [r.text for r in documents.filter(F.length("text").between(1500, 6000)).orderBy("doc_id").limit(100).collect()]
+    rows = []
+    for i, text in enumerate(prose):
+        shuffled = text.split(" ")
         dice.shuffle(shuffled)
-        pairs.append([lm_scoring.Network(net.vector).score(*lm_scoring.windows(*W.hashes([t.encode()]), *words)).mean() for t in (r.text, " ".join(shuffled))])
-    assert np.mean([a > b for a, b in pairs]) > 0.6
+        rows += [(3 * i, text), (3 * i + 1, " ".join(shuffled)), (3 * i + 2, " ".join("".join(dice.choice("bcdfghjklmnpqrstvwxz") for _ in range(dice.randint(2, 9))) for _ in range(300)))]
+    got = {r.doc_id: r.mean_log_likelihood for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), words, net, table=table).collect()}
+    own, shuffled, letters = ([got[3 * i + k] for i in range(len(prose))] for k in range(3))
+    assert np.mean([a > b for a, b in zip(own, shuffled, strict=True)]) >= 0.95
+    assert max(letters) < np.quantile(own, 0.05)
 
 
 def test_lm_vocabulary_grows_and_every_word_has_its_own_probability(spark):
