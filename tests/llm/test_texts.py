@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -208,7 +209,9 @@ def test_html_of_broken_pages(html):
     html_extract.main_text(html_extract.lines(html), [])
 
 
-def test_longest_common_subsequence():
+@pytest.mark.parametrize("aligned", [html_extract.ALIGNED, 2])
+def test_longest_common_subsequence(monkeypatch, aligned):
+    monkeypatch.setattr(html_extract, "ALIGNED", aligned)
     dice = random.Random(8)
     for _ in range(200):
         a, b = ([dice.choice("abcd") for _ in range(dice.randrange(12))] for _ in range(2))
@@ -221,6 +224,134 @@ def test_longest_common_subsequence():
         assert len(found) == table[-1][-1] and all(any(a[i] == y for y in rest) for i in found)
 
 
+def _unmarked(html):
+    """The page without any tag that says what a part of it is."""
+    html = regex.sub(r"<(/?)(article|nav|footer|header|aside|main)\b", r"<\1div", html or "")
+    return regex.sub(r" class=(\"[^\"]*\"|'[^']*')", "", html)
+
+
+def _plain_pages(rows):
+    """The query over (page_id, url, html), by sorting all pages, a table for each alignment and blocks one by one."""
+
+    def place(row):
+        found = regex.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", row[1] or "")
+        host, path = (found[1].lower(), regex.sub(r"(/|\.html?|/index\.html?)$", "", found[2])) if found else ("", "")
+        return host, path, str(row[0] if row[0] is not None else "").rjust(20, "0")
+
+    order = sorted(rows, key=lambda r: ("\x01".join(place(r)), r[2] or ""))
+    out = {}
+    for at, row in enumerate(order):
+        own = html_extract.lines(row[2])
+        beside = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order) and place(order[k])[0] == place(row)[0]]
+
+        def alike(other):
+            a, b = (place(x)[1].split("/") for x in (row, other))  # noqa: B023
+            return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+        beside.sort(key=alike, reverse=True)
+        inside = html_extract._inside(own)
+        body = [i for i, x in enumerate(own.lines) if (inside[i] if any(inside) else not x.aside)]
+        keep = body
+        for other in beside:
+            a, b = [x.text for x in own.lines], [x.text for x in html_extract.lines(other[2]).lines]
+            table = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i, j in np.ndindex(len(a), len(b)):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+            common, i, j = set(), len(a), len(b)
+            while i and j:
+                if table[i, j] == table[i, j - 1]:
+                    j -= 1
+                elif table[i, j] == table[i - 1, j]:
+                    i -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    common.add(i)
+            size = sum(len(a[k]) for k in body)
+            if size and 2 * sum(len(a[k]) for k in body if k in common) >= size:
+                continue
+            if any(inside):
+                keep = [k for k in body if k not in common or own.lines[k].links < 0.6 * len(a[k])]
+                break
+            stays = [k for k in body if k not in common]
+
+            def within(k, e):
+                e_ = own.lines[k].block  # noqa: B023
+                while e_ > e:
+                    e_ = own.parents[e_]  # noqa: B023
+                return e_ == e
+
+            site = set()
+            for e in range(1, len(own.parents)):
+                held = [k for k in range(len(a)) if within(k, e)]
+                if held and held[0] in common and 2 * sum(len(a[k]) for k in held if k in stays) < sum(len(a[k]) for k in stays):
+                    site.update(held)
+            keep = [k for k in stays if k not in site]
+            break
+        out[row[0]] = "\n\n".join(own.lines[k].text for k in keep)
+    return out
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_html_query_against_a_plain_version(spark, marks):
+    rows = [(r.page_id, r.url, r.html if marks else _unmarked(r.html)) for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()]
+    rows += [(1000 + i, f"http://x.org/{'ab'[i % 2]}/{i}", f"<div><b>Acme</b><a href=/>Home</a></div><div>{'Comments' if i % 3 else 'Links'}<p>own {i}</div><p>{'word ' * (i % 7)}{i}<p>{'long own text ' * 9}{i * i}<div>All rights kept</div>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df.repartition(5)).collect()} == _plain_pages(rows)
+
+
+def test_html_differencing_decides_where_nothing_is_marked():
+    """Articles of the table in unmarked pages with one template for each host: neighbours' help gives the article, without it the whole page is the text."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT page_id, url, html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY url").fetchall()
+    hosts: dict[str, list] = {}
+    for _, url, html in rows:
+        host, article = url.split("/")[2], _unmarked(regex.search(r"(?s)<article>(.*)</article>", html)[1])
+        wanted = html_extract.main_text(html_extract.lines(html), [])
+        top = f"<div><a href=/>{host}</a><a href=/n>News</a></div><div><p>We on {host} use cookies<p>Fine</div>"
+        hosts.setdefault(host, []).append((wanted, html_extract.lines(f"<body>{top}<div>{article}</div><div>Related<p>{wanted[:9]}</div><div>All of {host}</div>")))
+    n = right = helped = 0
+    for own in hosts.values():
+        for (wanted, page), (_, partner) in zip(own, own[1:], strict=False):
+            got, alone = html_extract.main_text(page, [partner]), html_extract.main_text(page, [])
+            n, right, helped = n + 1, right + (got == wanted), helped + (got != alone)
+    assert n > 150 and helped > 0.95 * n and right > 0.9 * n
+
+
+def test_html_wrappers_and_names_do_not_lose_text():
+    article = "<article><div class='post-header'><h1>Title</h1></div><p>Text</p><section id='social'>About society</section></article>"
+    page = html_extract.lines(f"<div class='layout with-sidebar'>{article}</div>")
+    assert html_extract.main_text(page, []) == "Title\n\nText\n\nAbout society"
+    other = html_extract.lines("<div class='layout with-sidebar'><article><h1>Other</h1><p>Else</p></article></div>")
+    assert html_extract.main_text(page, [other]) == "Title\n\nText\n\nAbout society"
+    linked = html_extract.lines("<div><a href=/a>Only a link here</a></div><div>And text</div>")
+    assert html_extract.main_text(linked, []) == "Only a link here\n\nAnd text"
+
+
+def test_html_blocks_that_open_with_a_shared_line_go():
+    page = "<div><h1>{0}</h1><p>{0} is told at length here, in so many words</p></div><div><h3>Related</h3><a href=/x>More on {0}</a></div>"
+    a, b = (html_extract.lines(page.format(x)) for x in ("Rain", "Snow"))
+    assert html_extract.main_text(a, [b]) == "Rain\n\nRain is told at length here, in so many words"
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 350_000, "<a \">\" " * 150_000 + ">", "<b>" * 300_000 + "</i>" * 200_000, "<i><div>" + "<b>" * 200_000 + "</i>" * 200_000, "<svg>" * 200_000, "<div>" * 200_000, "x<p>" * 250_000, "<!--" * 200_000, "<p>a<b>" * 140_000, "<div><b>" * 100_000 + "<hr>" * 100_000, "<script>" * 100_000, "a & b < c " * 100_000],
+)
+def test_html_of_a_megabyte_of_broken_markup(html):
+    began = time.process_time()
+    html_extract.main_text(html_extract.lines(html), [html_extract.lines("<p>x<p>y")])
+    assert time.process_time() - began < 12
+
+
+def test_html_alignment_of_many_equal_lines():
+    began = time.process_time()
+    a, b = ["x", "y"] * 20_000, ["y", "x", "x"] * 13_000
+    found = html_extract.shared(a, b)
+    assert len(found) > 25_000 and time.process_time() - began < 30
+    assert len(html_extract.shared(["x"] * 100_000, ["x"] * 99_000)) == 99_000
+
+
 # ---- language ID
 
 
