@@ -64,6 +64,40 @@ def test_a_passage_of_fifty_words_goes_from_all_but_its_first_place(spark):
     assert got[0] == rows[0][1] and all(got[i] == f"head {i}\ntail {i}" for i in range(1, 30))
 
 
+def test_matches_come_from_fingerprints_and_are_compared_line_by_line(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    dice = random.Random(5)
+    pool = [" ".join(f"w{i}x{k}" for k in range(dice.randint(1, 4))) for i in range(30)]
+    base = [dice.choice(pool) for _ in range(60)]
+    rows = [(i, "\n".join(base[i * 3 : i * 3 + 25] + [f"own line {i}"])) for i in range(10)]
+    each = line_dedup.lines(spark.createDataFrame(rows, DOCS))
+    places = stored(line_dedup.fingerprints(each, 8))
+    assert 0 < places.count() < each.count()
+    assert line_dedup.matches(places, 8).count() and not line_dedup.matches(places.limit(0), 8).count()
+    # without the fingerprints of the first places nothing is found there
+    assert not line_dedup.matches(stored(places.filter("place.doc_id = 3")), 8).filter("doc_id <> 3").count()
+    # equal digests of lines that differ, as hashes may have: the lines decide
+    own = F.col("place.doc_id")
+    changed = stored(places.withColumns({"k": own, "back": F.transform("back", lambda x: x.withField("k", own)), "ahead": F.transform("ahead", lambda x: x.withField("k", own))}))
+    found = {(r.doc_id, r.start, r.stop) for r in line_dedup.matches(changed, 8).collect()}
+    assert found < {(r.doc_id, r.start, r.stop) for r in line_dedup.matches(places, 8).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_of_long_texts_against_brute_force(spark, seed):
+    import random
+
+    dice = random.Random(seed)
+    pool = [" ".join(f"w{dice.randrange(40)}" for _ in range(dice.choice([1, 2, 3, 9]))) for _ in range(6 + 10 * seed)]
+    rows = [(i, "\n".join(dice.choice(pool) for _ in range(dice.choice([3, 30, 90])))) for i in range(12)]
+    rows += [(90 + i, " ".join(f"v{k}" for k in range(3000)) + f"\n{i}") for i in range(3)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), least_words=12).collect()}
+    assert got == {k[0]: v for k, v in brute(rows, 12).items()}
+
+
 def mixed_by_hand(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0):
     sizes = {}
     for _, text, source in rows:
