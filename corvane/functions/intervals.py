@@ -95,3 +95,30 @@ def to_text(x: Column) -> Column:
     clock = F.concat(clock, F.when(rest == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.rtrim(F.lpad(rest.cast("string"), 6, "0"), F.lit("0")))))
     shown = F.when((x["micros"] != 0) | ((x["months"] == 0) & (x["days"] == 0)), clock)
     return F.when(x.isNotNull(), F.concat_ws(" ", unit(years, " year", " years"), unit(months, " mon", " mons"), unit(x["days"], " day", " days"), shown))
+
+
+def to_text_sql(x: str) -> str:
+    """to_text() of a SQL expression, as SQL."""
+    unit = lambda n, one: f"CASE WHEN {n} <> 0 THEN concat(CAST({n} AS STRING), ' {one}', CASE WHEN {n} = 1 THEN '' ELSE 's' END) END"
+    m = f"abs({x}.micros)"
+    clock = f"format_string('%s%02d:%02d:%02d', CASE WHEN {x}.micros < 0 THEN '-' ELSE '' END, {m} div 3600000000L, {m} div 60000000L % 60, {m} div 1000000L % 60)"
+    rest = f"CASE WHEN {m} % 1000000L = 0 THEN '' ELSE concat('.', rtrim('0', lpad(CAST({m} % 1000000L AS STRING), 6, '0'))) END"
+    shown = f"CASE WHEN {x}.micros <> 0 OR ({x}.months = 0 AND {x}.days = 0) THEN concat({clock}, {rest}) END"
+    return f"CASE WHEN {x} IS NOT NULL THEN concat_ws(' ', {unit(f'{x}.months div 12', 'year')}, {unit(f'{x}.months % 12', 'mon')}, {unit(f'{x}.days', 'day')}, {shown}) END"
+
+
+def parse_sql(x: str) -> str:
+    """parse() of a SQL expression, as SQL."""
+    sums: dict[str, list[str]] = {"months": [], "days": [], "micros": []}
+    for unit, (part, size) in _UNITS.items():
+        number = f"regexp_extract({x}, '(?i)([+-]?[0-9]+(?:[.][0-9]+)?) *{unit}s?(?![a-z])', 1)"
+        sums[part].append(f"CASE WHEN {number} <> '' THEN CAST(round(CAST({number} AS DECIMAL(28,6)) * {size}, 0) AS BIGINT) ELSE 0L END")
+    clock = "([+-]?)([0-9]+):([0-9][0-9]?)(?::([0-9][0-9]?(?:[.][0-9]+)?))?"
+    piece = lambda i: f"regexp_extract({x}, '{clock}', {i})"
+    seconds = f"CAST(CAST(CASE WHEN {piece(4)} = '' THEN '0' ELSE {piece(4)} END AS DECIMAL(18,6)) * 1000000 AS BIGINT)"
+    sign = f"CASE WHEN {piece(1)} = '-' THEN -1L ELSE 1L END"
+    sums["micros"].append(f"CASE WHEN {x} RLIKE '{clock}' THEN {sign} * (CAST({piece(2)} AS BIGINT) * 3600000000L + CAST({piece(3)} AS BIGINT) * 60000000L + {seconds}) ELSE 0L END")
+    made = f"named_struct('months', CAST({' + '.join(sums['months'])} AS INT), 'days', CAST({' + '.join(sums['days'])} AS INT), 'micros', {' + '.join(sums['micros'])})"
+    fine = f"{x} RLIKE '(?i)^ *(?:(?:[+-]?[0-9]+(?:[.][0-9]+)? *(?:{'|'.join(_UNITS)})s?|{clock}) *)+$'"
+    kind = "STRUCT<months:INT,days:INT,micros:BIGINT>"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {fine} THEN CAST({made} AS {kind}) ELSE CAST(raise_error(concat('invalid interval: ', {x}, ' (SQLSTATE 22007)')) AS {kind}) END"

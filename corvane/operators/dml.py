@@ -75,10 +75,19 @@ class Table:
                 if broken:
                     raise DialectError(state, message)
 
-    def _check_whole(self, rows: DataFrame, new: DataFrame) -> None:
-        for key in [k for k in (self.primary_key, *self.unique) if k]:
-            full = rows.select(*key).dropna()
-            if full.groupBy(*key).count().filter("count > 1").take(1):
+    def _check_keys(self, rows: DataFrame, new: DataFrame, others: DataFrame | None = None, touched: set[str] | None = None) -> None:
+        """Unique and foreign keys of new rows, where rows are those of the whole table.
+
+        Keys of others, the rows beside new, are unlike already, so that only new ones meet them; none of them is looked at for
+        a key that no column in touched belongs to.  Without others all rows are held against each other.
+        """
+        for key in [k for k in (self.primary_key, *self.unique) if k and (touched is None or touched & set(k))]:
+            full = (rows if others is None else new).select(*key).dropna()
+            broken = bool(full.groupBy(*key).count().filter("count > 1").take(1))
+            if not broken and others is not None:
+                there = others.select(*(F.col(c).alias(f"__{c}") for c in key))
+                broken = bool(full.join(there, [F.col(c) == F.col(f"__{c}") for c in key], "left_semi").take(1))
+            if broken:
                 raise DialectError("23505", f"duplicate key in {self.name} ({', '.join(key)})")
         for key in self.foreign_keys:
             theirs = rows if key.table is self else key.table.rows
@@ -119,7 +128,7 @@ class Table:
         self._check_rows(new)
         if conflict is None:
             rows = self.rows.unionByName(new)
-            self._check_whole(rows, new)
+            self._check_keys(rows, new, self.rows)
             self.rows = rows
             return self._returned(new, returning)
         key = list(self.primary_key)
@@ -130,7 +139,7 @@ class Table:
             once = new.withColumn("__place", place).filter("__place = 1").drop("__place")
             added = once.join(self.rows.select(*key), key, "left_anti").select(*self.columns)
             rows = self.rows.unionByName(added)
-            self._check_whole(rows, added)
+            self._check_keys(rows, added, self.rows)
             self.rows = rows
             return self._returned(added, returning)
         if new.groupBy(*key).count().filter("count > 1").take(1):
@@ -147,7 +156,7 @@ class Table:
         )
         changed, rows = out.filter("__changed").select(*self.columns), out.select(*self.columns)
         self._check_rows(changed)
-        self._check_whole(rows, changed)
+        self._check_keys(rows, changed, out.filter("NOT __changed").select(*self.columns))
         self._check_references(rows)
         self.rows = rows
         return self._returned(changed, returning)
@@ -158,8 +167,9 @@ class Table:
         key = list(self.primary_key) or ["__row"]
         if other is None:
             return tagged.withColumn("__hit", F.coalesce(on, F.lit(False)) if on is not None else F.lit(True))
-        met = tagged.join(other.withColumn("__met", F.lit(True)), on, "left")
-        place = F.row_number().over(Window.partitionBy(*(F.col(k) for k in key)).orderBy(*(order or [F.lit(1)])))
+        # numbered before the join: without an order the first match is the first in other's own
+        met = tagged.join(other.withColumn("__met", F.lit(True)).withColumn("__scanned", F.monotonically_increasing_id()), on, "left")
+        place = F.row_number().over(Window.partitionBy(*(F.col(k) for k in key)).orderBy(*order, "__scanned"))
         return met.withColumn("__place", place).filter("__place = 1").withColumn("__hit", F.coalesce("__met", F.lit(False)))
 
     def update(self, changes: dict[str, Column], where: Column | None = None, source: DataFrame | None = None, order: Sequence[Column] = (), returning: Sequence[Column | str] | None = None) -> DataFrame | None:
@@ -168,8 +178,9 @@ class Table:
         out = matched.select(*(F.when(F.col("__hit"), changes[c].cast(spark_type(k))).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c, k in self.columns.items()), "__hit")
         changed, rows = out.filter("__hit").select(*self.columns), out.select(*self.columns)
         self._check_rows(changed)
-        self._check_whole(rows, changed)
-        self._check_references(rows)
+        self._check_keys(rows, changed, out.filter("NOT __hit").select(*self.columns), set(changes))
+        if any(set(changes) & set(key.references) for _, key in self.referenced_by):
+            self._check_references(rows)
         self.rows = rows
         return self._returned(changed, returning)
 
@@ -216,17 +227,17 @@ class Table:
     def add_primary_key(self, *columns: str) -> None:
         candidate = replace(self, primary_key=columns)
         candidate._check_rows(self.rows)
-        candidate._check_whole(self.rows, self.rows.limit(0))
+        candidate._check_keys(self.rows, self.rows.limit(0))
         self.primary_key = columns
 
     def add_unique(self, *columns: str) -> None:
         candidate = replace(self, unique=[*self.unique, columns])
-        candidate._check_whole(self.rows, self.rows.limit(0))
+        candidate._check_keys(self.rows, self.rows.limit(0))
         self.unique = candidate.unique
 
     def add_foreign_key(self, key: ForeignKey) -> None:
         candidate = replace(self, foreign_keys=[key])
-        candidate._check_whole(self.rows, self.rows)
+        candidate._check_keys(self.rows, self.rows)
         self.foreign_keys.append(key)
         key.table.referenced_by.append((self, key))
 

@@ -130,8 +130,17 @@ def in_subquery(df: DataFrame, x: str, among: DataFrame, name: str, negated: boo
     return joined.withColumn(name, ~found if negated else found).drop("__value", "__rows", "__nulls")
 
 
-def lateral_top(df: DataFrame, other: DataFrame, on: Column, order: Sequence[Column], n: int = 1, outer: bool = False) -> DataFrame:
-    """JOIN LATERAL (SELECT ... WHERE on ORDER BY order LIMIT n): ranks other within each row of df that it meets."""
+def lateral_top(df: DataFrame, other: DataFrame, on: Column | dict[str, str], order: Sequence[Column], n: int = 1, outer: bool = False) -> DataFrame:
+    """JOIN LATERAL (SELECT ... WHERE on ORDER BY order LIMIT n).
+
+    Where on is columns of df with those of other that they equal, other is cut to n rows a key before it moves to the join.
+    Any other condition ranks other within each row of df that it meets.
+    """
+    if isinstance(on, dict):
+        keys = list(on.values())
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        top = other.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place")
+        return df.join(top, all_of(*(df[a] == top[b] for a, b in on.items())), "left" if outer else "inner")
     tagged = df.withColumn("__row", F.monotonically_increasing_id())
     met = tagged.join(other, on, "left" if outer else "inner")
     place = F.row_number().over(Window.partitionBy("__row").orderBy(*order))

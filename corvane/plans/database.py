@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import threading
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.types import DialectError, NotSupported, family, spark_type
 from corvane.operators.dml import Table
-from corvane.session import apply_runtime_defaults
+from corvane.session import apply_runtime_defaults, stored
 
 
 @dataclass
@@ -67,19 +68,22 @@ class Sequence64:
     def fill(self, df: DataFrame, column: str) -> DataFrame:
         """df with a value for each row: numbers within partitions, and a block that starts where partitions before end."""
         with self.lock:
-            parted = df.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+            # stored, so that the rows that are counted are those that are numbered
+            parted = stored(df.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()))
             sizes = {r["__part"]: r["count"] for r in parted.groupBy("__part").count().collect()}  # one row for each partition
-            total, base, ends = 0, {}, self._next
+            total, base, ends = 0, [], self._next
             for part in sorted(sizes):
-                base[part], total = total, total + sizes[part]
+                base.append((part, total))
+                total += sizes[part]
             last = ends + (total - 1) * self.increment
             if total and not self.minimum <= last <= self.maximum:
                 raise DialectError("2200H", f"nextval: reached the end of sequence {self.name}")
-            before = F.create_map(*[F.lit(x) for pair in base.items() for x in pair]) if base else F.create_map(F.lit(0), F.lit(0))
-            place = F.row_number().over(Window.partitionBy("__part").orderBy("__id")) - 1 + F.element_at(before, F.col("__part"))
+            starts = df.sparkSession.createDataFrame(base, "__part int, __before bigint")
+            place = F.row_number().over(Window.partitionBy("__part").orderBy("__id")) - 1 + F.col("__before")
             if total:
                 self._next, self.last = last + self.increment, last
-            return parted.withColumn(column, F.lit(ends).cast("bigint") + place * self.increment).drop("__part", "__id")
+            numbered = parted.join(F.broadcast(starts), "__part")  # a row for each partition
+            return numbered.select(*df.columns, (F.lit(ends).cast("bigint") + place * self.increment).alias(column))
 
 
 #: Settings and their defaults.
@@ -90,6 +94,25 @@ SETTINGS = {
 }
 
 
+#: Types by OID, with their short and their full names.
+TYPES = (
+    (16, "bool", "boolean"), (17, "bytea", "bytea"), (20, "int8", "bigint"), (21, "int2", "smallint"), (23, "int4", "integer"), (25, "text", "text"), (700, "float4", "real"),
+    (701, "float8", "double precision"), (1007, "_int4", "integer[]"), (1009, "_text", "text[]"), (1016, "_int8", "bigint[]"), (1022, "_float8", "double precision[]"), (1042, "bpchar", "character"),
+    (1043, "varchar", "character varying"), (1082, "date", "date"), (1083, "time", "time without time zone"), (1114, "timestamp", "timestamp without time zone"),
+    (1184, "timestamptz", "timestamp with time zone"), (1186, "interval", "interval"), (1700, "numeric", "numeric"), (2950, "uuid", "uuid"),
+)
+
+
+def _type_of(declared: str) -> tuple[int, int]:
+    """(OID, modifier) of a type name such as varchar(5)."""
+    base, _, rest = declared.lower().partition("(")
+    base, given = base.strip(), [int(x) for x in rest.rstrip(")] ").split(",") if x.strip().isdigit()]
+    base = {"int": "integer", "decimal": "numeric", "float": "double precision", "double": "double precision", "char": "character", "serial": "integer", "bigserial": "bigint", "boolean": "boolean"}.get(base, base)
+    oid = next((o for o, short, shown in TYPES if base in (short, shown, shown.split(" without")[0])), 0)
+    modifier = (given[0] << 16 | (given[1] if len(given) > 1 else 0)) + 4 if given and oid == 1700 else given[0] + 4 if given else -1
+    return oid, modifier
+
+
 @dataclass
 class Database:
     spark: SparkSession
@@ -250,9 +273,31 @@ class Database:
         return self.spark.sql(re.sub(r"\$(\d+)", r":p\1", sql), args={f"p{i + 1}": a for i, a in enumerate(args)})
 
     def explain(self, query: DataFrame, analyze: bool = False) -> str:
-        if analyze:
-            query.write.format("noop").mode("overwrite").save()
-        return query._jdf.queryExecution().explainString(query._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        """The plan; with analyze the query runs, and each node that counts its rows shows how many it gave."""
+        execution = query._jdf.queryExecution()
+        if not analyze:
+            return execution.explainString(query._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        began = time.perf_counter()
+        execution.toRdd().count()
+        lines: list[str] = []
+
+        def walk(plan, depth: int) -> None:
+            kind = plan.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                return walk(plan.executedPlan(), depth)
+            if kind.endswith("QueryStageExec"):
+                return walk(plan.plan(), depth)
+            if kind not in ("WholeStageCodegenExec", "InputAdapter", "AQEShuffleReadExec"):
+                rows = plan.metrics().get("numOutputRows")
+                shown = f" (actual rows={rows.get().value()} loops=1)" if rows.isDefined() else ""
+                lines.append(f"{'  ' * depth}{'-> ' * bool(depth)}{plan.simpleStringWithNodeId()[:300]}{shown}")
+                depth += 1
+            children = plan.children()
+            for i in range(children.size()):
+                walk(children.apply(i), depth)
+
+        walk(execution.executedPlan(), 0)
+        return "\n".join([*lines, f"Execution Time: {(time.perf_counter() - began) * 1000:.3f} ms"])
 
     def functions(self) -> dict[str, object]:
         """Session and introspection functions without arguments, as they stand now."""
@@ -267,8 +312,45 @@ class Database:
     FALSE = ("pg_is_other_temp_schema",)
     NULL = ("obj_description", "col_description", "pg_get_viewdef", "pg_get_triggerdef", "pg_get_ruledef", "pg_get_partkeydef", "pg_get_functiondef")
 
+    def _constraints(self) -> list[tuple[int, str, tuple[str, str], str, tuple[str, ...], str]]:
+        """(oid, name, table, kind, columns, definition) of every constraint."""
+        out: list[tuple[str, tuple[str, str], str, tuple[str, ...], str]] = []
+        indexed = {(self._key(t), tuple(c)) for t, c, unique in self.indexes.values() if unique}  # an index is no constraint
+        for (s, n), t in self.tables.items():
+            if t.primary_key:
+                out.append((f"{n}_pkey", (s, n), "p", tuple(t.primary_key), f"PRIMARY KEY ({', '.join(t.primary_key)})"))
+            out += [(f"{n}_{'_'.join(u)}_key", (s, n), "u", tuple(u), f"UNIQUE ({', '.join(u)})") for u in t.unique if ((s, n), tuple(u)) not in indexed]
+            out += [(c, (s, n), "c", (), f"CHECK ({c})") for c in t.checks]
+            out += [(k.name, (s, n), "f", tuple(k.columns), f"FOREIGN KEY ({', '.join(k.columns)}) REFERENCES {k.table.name}({', '.join(k.references)})") for k in t.foreign_keys]
+        return [(60000 + i, *x) for i, x in enumerate(out)]
+
+    def _indexed(self, name: str) -> str:
+        table, columns, unique = self.indexes[name]
+        return f"CREATE {'UNIQUE ' if unique else ''}INDEX {name} ON {table} USING btree ({', '.join(columns)})"
+
+    def by_oid(self, name: str, rest: Sequence[str] = ()) -> dict[int, str] | None:
+        """What an introspection function gives for each OID; None for a function of something else."""
+        match name.lower():
+            case "format_type":
+                return {oid: shown for oid, _, shown in TYPES}
+            case "pg_get_constraintdef":
+                return {c[0]: c[-1] for c in self._constraints()}
+            case "pg_get_indexdef":
+                return {40000 + i: self._indexed(n) for i, n in enumerate(self.indexes)}
+            case "pg_get_userbyid":
+                return {10: "corvane"}
+        return None
+
     def call(self, name: str, *args: object) -> object:
         name = name.lower()
+        if args and args[0] is not None and str(args[0]).isdigit() and (known := self.by_oid(name)) is not None:
+            shown = known.get(int(str(args[0])))
+            modifier = int(str(args[1])) if name == "format_type" and len(args) > 1 and args[1] is not None else -1
+            if shown and modifier >= 4 and shown.startswith("character"):
+                return f"{shown}({modifier - 4})"
+            if shown == "numeric" and modifier >= 4:
+                return f"numeric({modifier - 4 >> 16},{modifier - 4 & 0xFFFF})"
+            return shown
         if name in self.functions():
             return self.functions()[name]
         for names, value in ((self.TRUE, True), (self.ZERO, 0), (self.FALSE, False), (self.NULL, None)):
@@ -292,8 +374,7 @@ class Database:
             wanted = f"{self._key(str(args[0]))[1]}_{args[1]}_seq"
             return f"public.{wanted}" if wanted in self.sequences else None
         if name == "pg_get_indexdef":
-            table, columns, unique = self.indexes[str(args[0])]
-            return f"CREATE {'UNIQUE ' if unique else ''}INDEX {args[0]} ON {table} USING btree ({', '.join(columns)})"
+            return self._indexed(str(args[0]))
         if name == "pg_get_constraintdef":
             table = self.table(str(args[0]))
             return f"PRIMARY KEY ({', '.join(table.primary_key)})"
@@ -354,20 +435,20 @@ class Database:
                 rows += [(30000 + i, n, 2202, "S", 3) for i, n in enumerate(self.sequences)] + [(40000 + i, n, 2202, "i", len(c)) for i, (n, (_, c, _)) in enumerate(self.indexes.items())]
                 return make(rows, "oid bigint, relname string, relnamespace bigint, relkind string, relnatts int")
             case "pg_attribute":
-                return make([(oid[s, n], f.name, i + 1, kinds[f.name]) for s, n, _, schema, kinds in relations for i, f in enumerate(schema)], "attrelid bigint, attname string, attnum int, atttypname string")
+                rows = []
+                for s, n, _, schema, kinds in relations:
+                    t = self.tables.get((s, n))
+                    required = set(t.primary_key) | t.not_null if t else set()
+                    rows += [(oid[s, n], f.name, i + 1, kinds[f.name], *_type_of(kinds[f.name]), f.name in required) for i, f in enumerate(schema)]
+                return make(rows, "attrelid bigint, attname string, attnum int, atttypname string, atttypid bigint, atttypmod int, attnotnull boolean")
             case "pg_type":
-                from corvane.functions.types import NAMES
-
-                return make([(i + 16, n) for i, n in enumerate(sorted(NAMES))], "oid bigint, typname string")
+                return make([(o, n) for o, n, _ in TYPES], "oid bigint, typname string")
             case "pg_index":
                 rows = [(40000 + i, oid.get(self._key(t), 0), u, list(c)) for i, (_, (t, c, u)) in enumerate(self.indexes.items())]
                 return make(rows, "indexrelid bigint, indrelid bigint, indisunique boolean, indkeys array<string>")
             case "pg_constraint":
-                rows = []
-                for (s, n), t in self.tables.items():
-                    rows += [(f"{n}_pkey", oid[s, n], "p", list(t.primary_key))] * bool(t.primary_key) + [(f"{n}_{'_'.join(u)}_key", oid[s, n], "u", list(u)) for u in t.unique]
-                    rows += [(c, oid[s, n], "c", []) for c in t.checks] + [(k.name, oid[s, n], "f", list(k.columns)) for k in t.foreign_keys]
-                return make(rows, "conname string, conrelid bigint, contype string, conkeys array<string>")
+                rows = [(o, c, oid[t], kind, list(columns)) for o, c, t, kind, columns, _ in self._constraints()]
+                return make(rows, "oid bigint, conname string, conrelid bigint, contype string, conkeys array<string>")
             case "pg_attrdef":
                 return make([(oid[s, n], c) for (s, n), t in self.tables.items() for c in t.defaults], "adrelid bigint, attname string")
             case "pg_settings":
@@ -381,7 +462,10 @@ class Database:
             case "pg_proc":
                 return make([(50000 + i, n) for i, n in enumerate(sorted(self.functions()))], "oid bigint, proname string")
             case "pg_depend":
-                return make([], "classid bigint, objid bigint, refobjid bigint, deptype string")
+                # what goes when a table goes: its constraints and its indexes
+                rows = [(2606, o, oid[t], "a") for o, _, t, *_ in self._constraints()]
+                rows += [(1259, 40000 + i, oid[self._key(t)], "a") for i, (t, _, _) in enumerate(self.indexes.values()) if self._key(t) in oid]
+                return make(rows, "classid bigint, objid bigint, refobjid bigint, deptype string")
             case "pg_stats":
                 return self.pg_stats()
         raise DialectError("42P01", f"relation {view} does not exist")

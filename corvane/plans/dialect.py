@@ -41,30 +41,58 @@ def text_literal(value: str) -> str:
 class Relation:
     alias: str
     columns: list[tuple[str, str]]
+    sql: str | None = None  # where it can stand in another FROM too
 
 
 @dataclass
 class Scope:
     relations: list[Relation] = field(default_factory=list)
     outer: Scope | None = None
+    #: Columns of scopes further out that queries within this one use: relation and column, with the value to be equal to.
+    taken: dict[tuple[str, str], tuple[str, str, str]] = field(default_factory=dict)
 
-    def find(self, parts: tuple[str, ...]) -> tuple[str, str]:
+    def own(self, parts: tuple[str, ...]) -> tuple[Relation, str, str] | None:
+        """(relation, column, type) of a name in this scope."""
         name = parts[-1]
         if len(parts) > 1:
             for r in self.relations:
                 if r.alias in (parts[-2], ".".join(parts[:-1])):
                     for c, kind in r.columns:
                         if c == name:
-                            return f"{quoted(r.alias)}.{quoted(c)}", kind
+                            return r, c, kind
         else:
             hits = [(r, c, kind) for r in self.relations for c, kind in r.columns if c == name]
             if len(hits) > 1:
                 raise DialectError("42702", f"column reference {name} is ambiguous")
             if hits:
-                return f"{quoted(hits[0][0].alias)}.{quoted(name)}", hits[0][2]
-        if self.outer:
-            return self.outer.find(parts)
-        raise DialectError("42703", f"column {'.'.join(parts)} does not exist")
+                return hits[0]
+        return None
+
+    def find(self, parts: tuple[str, ...]) -> tuple[str, str]:
+        """A name here or one scope out, as it is; one from further out is taken into the scope between.
+
+        Spark resolves names one scope out only.  The scope between joins the distinct values of the column under a name of
+        its own, and keeps those that equal the column, so that each scope refers to the next.
+        """
+        found = self.own(parts)
+        if found is None and self.outer:
+            found = self.outer.own(parts)
+        if found:
+            return f"{quoted(found[0].alias)}.{quoted(found[1])}", found[2]
+        if self.outer is None or self.outer.outer is None:
+            raise DialectError("42703", f"column {'.'.join(parts)} does not exist")
+        value, kind = self.outer.find(parts)
+        at = self.outer.outer
+        while (found := at.own(parts)) is None:
+            at = at.outer
+        if found[0].sql is None:
+            raise NotSupported(f"{'.'.join(parts)} from two queries further out, of what is no table")
+        key = (found[0].alias, found[1])
+        if key not in self.outer.taken:
+            name = f"__out{len(self.outer.taken)}"
+            self.outer.taken[key] = (name, f"JOIN (SELECT DISTINCT {quoted(found[1])} AS {quoted(name)} FROM {found[0].sql}) AS {quoted(name)}", value)
+        name = self.outer.taken[key][0]
+        return f"{quoted(name)}.{quoted(name)}", kind
 
 
 Typed = tuple[str, str]
@@ -155,6 +183,29 @@ class Binder:
             raise TypeMismatch(f"a condition of type {kind}")
         return sql
 
+    def condition(self, node: Node, scope: Scope) -> str:
+        """A condition that rows must meet: NULL and false are one there, so [NOT] IN is a semi or anti join."""
+        if node.kind == "bool" and node[0] == "AND":
+            return f"({self.condition(node[1], scope)} AND {self.condition(node[2], scope)})"
+        if node.kind == "in_query":
+            return self.in_query(node, scope, value=False)[0]
+        if node.kind == "not" and node[0].kind == "in_query":
+            return self.in_query(Node("in_query", (*node[0].args[:2], not node[0][2])), scope, value=False)[0]
+        return self.boolean(node, scope)
+
+    def in_query(self, node: Node, scope: Scope, value: bool) -> Typed:
+        """x [NOT] IN (SELECT ...).  As a value it is NULL where x or one of the rows is, and no row equals x; Spark has false there."""
+        x = self.expr(node[0], scope)
+        sql, columns = self.query(node[1], scope)
+        if len(columns) != 1:
+            raise DialectError("42601", "a subquery in IN has one column")
+        self.check(x, ("", columns[0][1]), "IN")
+        if not value:
+            return f"({x[0]} {'NOT ' if node[2] else ''}IN ({sql}))", "boolean"
+        yes, no = ("false", "true") if node[2] else ("true", "false")
+        unknown = f"EXISTS (SELECT 1 FROM ({sql}) AS __among(__x) WHERE __x IS NULL)"
+        return f"CASE WHEN {x[0]} IN ({sql}) THEN {yes} WHEN {x[0]} IS NULL THEN CASE WHEN EXISTS ({sql}) THEN CAST(NULL AS BOOLEAN) ELSE {no} END WHEN {unknown} THEN CAST(NULL AS BOOLEAN) ELSE {no} END", "boolean"
+
     def comparable(self, x: Typed) -> str:
         if x[1] == "interval":
             return f"((CAST({x[0]}.months AS DECIMAL(28,0)) * 30 + {x[0]}.days) * 86400000000 + {x[0]}.micros)"
@@ -219,7 +270,7 @@ class Binder:
             made = f"CAST(round({sql}, 0) AS BIGINT)"
         elif kind == "text":
             if source == "interval":
-                raise NotSupported("interval to text in SQL text; use functions.intervals.to_text")
+                return f"get(transform(array({sql}), __i -> {intervals.to_text_sql('__i')}), 0)", "text"
             made = {"boolean": f"CASE WHEN {sql} THEN 'true' WHEN NOT {sql} THEN 'false' END", "bytea": f"concat('\\\\x', lower(hex({sql})))"}.get(source, f"CAST({sql} AS STRING)")
         elif source == "text" and kind == "boolean":
             low = f"lower(trim({sql}))"
@@ -244,7 +295,7 @@ class Binder:
     def interval_literal(self, sql: str) -> str:
         """An interval from a text literal: parsed once, here."""
         if not sql.startswith("'"):
-            raise NotSupported("intervals from text columns in SQL text; use functions.intervals.parse")
+            return f"get(transform(array({sql}), __t -> {intervals.parse_sql('__t')}), 0)"
         spark = self.database.spark
         row = spark.range(1).select(intervals.parse(F.expr(sql)).alias("i")).first().i
         return f"CAST(named_struct('months', {row.months}, 'days', {row.days}, 'micros', {row.micros}L) AS {_TYPES['interval']})"
@@ -295,12 +346,7 @@ class Binder:
                 items = [self.check(x, self.expr(i, scope, x[1]), "IN")[0] for i in node[1]]
                 return f"({x[0]} {'NOT ' if node[2] else ''}IN ({', '.join(items)}))", "boolean"
             case "in_query":
-                x = self.expr(node[0], scope)
-                sql, columns = self.query(node[1], scope)
-                if len(columns) != 1:
-                    raise DialectError("42601", "a subquery in IN has one column")
-                self.check(x, ("", columns[0][1]), "IN")
-                return f"({x[0]} {'NOT ' if node[2] else ''}IN ({sql}))", "boolean"
+                return self.in_query(node, scope, value=True)
             case "exists":
                 return f"EXISTS ({self.query(node[0], scope)[0]})", "boolean"
             case "scalar":
@@ -444,9 +490,16 @@ class Binder:
                 if set(kinds) - {"text", "unknown"}:
                     raise DialectError("42883", f"function concat({', '.join(kinds)}) does not exist")
                 return f"concat_ws('', {', '.join(sql)})", "text"
-        values = [a[1] if a.kind == "literal" else None for a in args]
+        if args and args[0].kind != "literal" and (known := self.database.by_oid(name, self.params_of(args[1:]))) is not None:
+            arms = " ".join(f"WHEN {oid}L THEN {text_literal(value)}" for oid, value in known.items())
+            return (f"CASE CAST({sql[0]} AS BIGINT) {arms} END" if arms else "CAST(NULL AS STRING)"), "text"
+        values = [a[1] if a.kind == "literal" else f"-{a[0][1]}" if a.kind == "negate" and a[0].kind == "literal" else None for a in args]
         return self.parameter_of(self.database.call(name, *values))
 
+    @staticmethod
+    def params_of(args: list[Node]) -> list[str]:
+        return [a[1] for a in args if a.kind == "literal"]
+
     def parameter_of(self, value: object) -> Typed:
         return Binder(self.database, (value,)).parameter(1, "text" if value is None else None)
 
@@ -483,8 +536,14 @@ class Binder:
     # ---- relations
 
     def base(self, name: str) -> tuple[str, Columns]:
-        df = self.database.read(name)
-        view = "corvane_" + "_".join(p for p in self.database._key(name))
+        key = self.database._key(name)
+        system = name.removeprefix("pg_catalog.")
+        if key not in self.database.tables and key not in self.database.views and system.startswith(("pg_", "information_schema.")):
+            df = self.database.system(system)
+            view = "corvane_system_" + system.replace(".", "_")
+        else:
+            df = self.database.read(name)
+            view = "corvane_" + "_".join(key)
         df.createOrReplaceTempView(view)
         return quoted(view), [(f.name, family(f.dataType)) for f in df.schema]
 
@@ -501,7 +560,7 @@ class Binder:
                 if names:
                     columns = [(n, k) for n, (_, k) in zip(names + [c for c, _ in columns[len(names) :]], columns, strict=True)]
                     sql = f"(SELECT * FROM {sql})"
-                scope.relations.append(Relation(alias, columns))
+                scope.relations.append(Relation(alias, columns, None if name in ctes else f"{sql} AS {quoted(alias)}" + (f"({', '.join(quoted(c) for c, _ in columns)})" if names else "")))
                 return f"{sql} AS {quoted(alias)}" + (f"({', '.join(quoted(c) for c, _ in columns)})" if names else "")
             case "derived":
                 query, alias, names, lateral = node.args
@@ -535,6 +594,8 @@ class Binder:
         b = self.source(right, scope, ctes)
         if kind == "cross":
             return f"{a} CROSS JOIN {b}" if not b.startswith("LATERAL") else f"{a} JOIN {b}"
+        if any(_queries(on)):
+            raise NotSupported("a subquery in ON")
         return f"{a} {kind.upper()} JOIN {b} ON {self.boolean(on, scope)}"
 
     # ---- queries
@@ -631,15 +692,23 @@ class Binder:
     def select(self, select: Select, outer: Scope | None, ctes: dict[str, Columns], order: list) -> tuple[str, Columns]:
         scope = Scope(outer=outer)
         source = f" FROM {self.source(select.source, scope, ctes)}" if select.source else ""
-        tail = source
-        if select.where:
-            tail += f" WHERE {self.boolean(select.where, scope)}"
+        where = [self.condition(select.where, scope)] if select.where else []
         items = self.items(select, scope)
         if select.group:
             keys = [self.expr(g, scope)[0] for g in select.group]
-            tail += f" GROUP BY {', '.join(f'CAST({k} AS BIGINT)' if k.rstrip('L').lstrip('-').isdigit() else k for k in keys)}"
+            tail = f" GROUP BY {', '.join(f'CAST({k} AS BIGINT)' if k.rstrip('L').lstrip('-').isdigit() else k for k in keys)}"
+        else:
+            tail = ""
         if select.having:
-            tail += f" HAVING {self.boolean(select.having, scope)}"
+            tail += f" HAVING {self.condition(select.having, scope)}"
+        if any(x for k, _, _ in order for x in _queries(k)):
+            raise NotSupported("a subquery in ORDER BY")
+        if scope.taken:
+            if tail or any(_aggregates(x) for x, _ in select.items):
+                raise NotSupported("columns of a query two further out below a query that aggregates")
+            source = (f"{source} " if source else " FROM (SELECT 1) AS __one ") + " ".join(join for _, join, _ in scope.taken.values())
+            where += [f"{quoted(name)}.{quoted(name)} <=> {value}" for name, _, value in scope.taken.values()]
+        tail = source + (f" WHERE {' AND '.join(where)}" if where else "") + tail
         names = [n for _, n, _ in items]
         keys: list[tuple[str, str]] = []  # (expression, direction)
         for x, down, nulls in order:
@@ -931,3 +1000,22 @@ def _qualified(x: Node, alias: str) -> Node:
 
 
 __all__ = ["Binder", "Dialect", "Statement"]
+
+
+def _parts(x):
+    """All nodes of an expression, queries' insides left out."""
+    if isinstance(x, Node):
+        yield x
+        for a in x.args:
+            yield from _parts(a)
+    elif isinstance(x, (list, tuple)):
+        for a in x:
+            yield from _parts(a)
+
+
+def _queries(x: Node):
+    return (n for n in _parts(x) if n.kind in ("scalar", "exists", "in_query"))
+
+
+def _aggregates(x: Node) -> bool:
+    return any(n.kind == "call" and n[0] in _AGGREGATES for n in _parts(x))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from corvane.operators import relational as R
 from corvane.operators.dml import Table
 from corvane.plans.database import Database
+from corvane.session import shared_folder
 from corvane.sources.copyio import CopyOptions, copy_from, copy_to
 from corvane.sources.tables import table
 
@@ -100,16 +101,13 @@ def insert_serial(spark, folder):
     """A SERIAL column takes its values from a sequence, in blocks."""
     database = Database(spark)
     regions = database.create_table("region_copy", {"id": "serial", "r_name": "text"})
-    regions.insert(table(spark, folder, "region").coalesce(1).sortWithinPartitions("r_regionkey").select("r_name"), ["r_name"])
+    regions.insert(table(spark, folder, "region").orderBy("r_regionkey").select("r_name"), ["r_name"])
     return regions.rows
 
 
 def _scratch(spark) -> str:
-    """A folder for files that a query writes and reads again: the one the cluster shares, else a temporary one."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/copy-{uuid.uuid4().hex}" if shared else f"{tempfile.mkdtemp(prefix='corvane-copy-')}/rows"
+    """A folder for files that a query writes and reads again."""
+    return f"{shared_folder(spark)}/copy-{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN '' ELSE c_mktsegment || ',\"' || chr(10) END AS note FROM customer")
@@ -129,6 +127,27 @@ def copy_text_roundtrip(spark, folder):
     return copy_from(spark, path, {"doc_id": "bigint", "text": "text", "good": "boolean"})
 
 
+@query("SELECT p_partkey, p_name || '|' || p_brand || chr(92) || '|' || chr(10) || chr(1) || '2' AS odd, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'N' || chr(92) ELSE chr(92) || 'N|' END AS mark FROM part")
+def copy_custom_delimiter(spark, folder):
+    key = col("p_partkey")
+    odd = F.concat("p_name", lit("|"), "p_brand", lit("\\|\n\x012"))
+    mark = F.when(key % 4 == 0, lit(None)).when(key % 4 == 1, lit("N\\")).otherwise(lit("\\N|"))
+    options = CopyOptions(delimiter="|")
+    copy_to(table(spark, folder, "part").select("p_partkey", odd.alias("odd"), mark.alias("mark")), path := _scratch(spark), options)
+    return copy_from(spark, path, {"p_partkey": "bigint", "odd": "text", "mark": "text"}, options)
+
+
+@query("""SELECT p_partkey, [p_name, p_brand || ',"' || chr(92), NULL, 'NULL', '', '{' || p_type || '}'] AS words, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN [] ELSE [p_partkey, NULL, -1] END AS numbers,
+[[p_name, ' a'], [NULL, '}']] AS nested FROM part""")
+def copy_array_roundtrip(spark, folder):
+    key, text = col("p_partkey"), lambda x: lit(x).cast("string")
+    words = F.array("p_name", F.concat("p_brand", lit(',"\\')), text(None), text("NULL"), text(""), F.concat(lit("{"), "p_type", lit("}")))
+    numbers = F.when(key % 3 == 0, lit(None)).when(key % 3 == 1, F.array().cast("array<bigint>")).otherwise(F.array(key, lit(None).cast("bigint"), lit(-1).cast("bigint")))
+    nested = F.array(F.array("p_name", text(" a")), F.array(text(None), text("}")))
+    copy_to(table(spark, folder, "part").select("p_partkey", words.alias("words"), numbers.alias("numbers"), nested.alias("nested")), path := _scratch(spark))
+    return copy_from(spark, path, {"p_partkey": "bigint", "words": "text[]", "numbers": "bigint[]", "nested": "text[][]"})
+
+
 @query("""SELECT * FROM (VALUES ('orders', 'o_orderkey', 1, 'NO', 'bigint'), ('orders', 'o_custkey', 2, 'YES', 'bigint'), ('orders', 'o_orderstatus', 3, 'YES', 'text'), ('orders', 'o_totalprice', 4, 'YES', 'double'))
 AS v(table_name, column_name, ordinal_position, is_nullable, data_type)""")
 def information_schema_columns(spark, folder):

@@ -91,7 +91,7 @@ def lateral_agg(spark, folder):
 @query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 1) AS x")
 def lateral_top1(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    top = R.lateral_top(table(spark, folder, "customer").select("c_custkey"), orders, col("o_custkey") == col("c_custkey"), [R.ordered("o_totalprice", descending=True), R.ordered("o_orderkey")])
+    top = R.lateral_top(table(spark, folder, "customer").select("c_custkey"), orders, {"c_custkey": "o_custkey"}, [R.ordered("o_totalprice", descending=True), R.ordered("o_orderkey")])
     return top.select("c_custkey", "o_orderkey")
 
 

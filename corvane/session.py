@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +41,30 @@ def apply_runtime_defaults(spark: SparkSession) -> SparkSession:
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.timeType.enabled"):
         spark.conf.set(key, DEFAULTS[key])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a temporary one is made on one machine, as in tests; on a cluster that is an error, as executors would
+    each write to a disk of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    already = context._jsc.sc().getCheckpointDir()
+    if already.isDefined():
+        return already.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = tempfile.mkdtemp(prefix="corvane-")
+    context.setCheckpointDir(named)
+    return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/corvane-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,41 +36,93 @@ class CopyOptions:
 
 #: The escapes of the text format.
 _ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\b", "\\b"), ("\f", "\\f"), ("\v", "\\v"))
+#: While a row is cut into cells this stands before a digit: 0 for itself, 1 for a backslash, 2 for an escaped delimiter.
+_ASIDE = "\x01"
 
 
-def _escaped(x: Column) -> Column:
+def _escaped(x: Column, separator: str) -> Column:
     for plain, shown in _ESCAPES:
         x = F.replace(x, F.lit(plain), F.lit(shown))
-    return x
+    return x if separator in [plain for plain, _ in _ESCAPES] else F.replace(x, F.lit(separator), F.lit("\\" + separator))
 
 
-def _unescaped(x: Column) -> Column:
-    # the doubled backslash is set aside first, so that what it precedes stays plain
-    aside = F.lit("\x00")
-    x = F.replace(x, F.lit("\\\\"), aside)
+def _asides(separator: str) -> tuple[tuple[str, str], ...]:
+    return ((_ASIDE, _ASIDE + "0"), ("\\\\", _ASIDE + "1"), ("\\" + separator, _ASIDE + "2"))
+
+
+def _cells(row: Column, separator: str) -> Column:
+    """A row's cells, with what is escaped set aside, so that no delimiter in a value counts."""
+    for plain, aside in _asides(separator):
+        row = F.replace(row, F.lit(plain), F.lit(aside))
+    return F.split(row, f"\\Q{separator}\\E", -1)
+
+
+def _unescaped(x: Column, separator: str) -> Column:
     for plain, shown in _ESCAPES[1:]:
         x = F.replace(x, F.lit(shown), F.lit(plain))
-    return F.replace(x, aside, F.lit("\\"))
+    x = F.replace(x, F.lit("\\"), F.lit(""))  # before any other character it stands for nothing
+    x = F.replace(F.replace(x, F.lit(_ASIDE + "2"), F.lit(separator)), F.lit(_ASIDE + "1"), F.lit("\\"))
+    return F.replace(x, F.lit(_ASIDE + "0"), F.lit(_ASIDE))
 
 
-#: What the reader gives for a quoted empty text, so that it isn't taken for the NULL that an empty cell is.
-_EMPTY = "\x01\x02"
 _BOOLEANS = {True: ("t", "true", "y", "yes", "on", "1"), False: ("f", "false", "n", "no", "off", "0")}
 
 
-def _typed(x: Column, kind: str) -> Column:
-    wanted = spark_type(kind)
+def _bad(state: str, what: str, x: Column, kind: T.DataType) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what}: "), x, F.lit(f" (SQLSTATE {state})"))).cast(kind)
+
+
+#: An array's text: a quoted element, and a run that quoted ones may interrupt.
+_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_ELEMENT = rf'(?s)\s*({_QUOTED}|[^,"]*)\s*,'
+_NESTED = rf'(?s)\s*(\{{[^{{}}"]*+(?:{_QUOTED}[^{{}}"]*+)*+\}})\s*,'
+
+
+def _array(x: Column, kind: T.ArrayType) -> Column:
+    """An array from its text: {a,"b, c",NULL}; of arrays: {{1,2},{3,4}}."""
+    nested = isinstance(kind.elementType, T.ArrayType)
+    if nested and isinstance(kind.elementType.elementType, T.ArrayType):
+        raise NotSupported("COPY of arrays of three dimensions")
+    text = F.trim(x)
+    body = F.substring(text, F.lit(2), F.length(text) - 2)
+    listed = F.concat(body, F.lit(","))
+    parts = F.regexp_extract_all(listed, F.lit(_NESTED if nested else _ELEMENT), F.lit(1))
+    # what the pattern left out is no element
+    whole = text.startswith("{") & text.endswith("}") & (F.length(text) >= 2) & (F.length(F.regexp_replace(listed, _NESTED if nested else _ELEMENT, "")) == 0)
+    if nested:
+        made = F.transform(parts, lambda e: _array(e, kind.elementType))
+    else:
+        plain = lambda e: F.when(e.startswith('"'), F.regexp_replace(F.substring(e, F.lit(2), F.length(e) - 2), r"(?s)\\(.)", "$1")).when(F.upper(F.trim(e)) != "NULL", F.trim(e))
+        made = F.transform(parts, lambda e: _scalar(plain(e), kind.elementType))
+    return F.when(text == "{}", F.array().cast(kind)).when(whole, made).otherwise(F.when(x.isNotNull(), _bad("22P02", "malformed array", x, kind)))
+
+
+def _scalar(x: Column, wanted: T.DataType) -> Column:
+    if isinstance(wanted, T.StringType):
+        return x
     if isinstance(wanted, T.BooleanType):
         low = F.lower(F.trim(x))
-        bad = F.raise_error(F.concat(F.lit("invalid boolean: "), x)).cast("boolean")
-        return F.when(x.isNull(), F.lit(None)).when(low.isin(*_BOOLEANS[True]), True).when(low.isin(*_BOOLEANS[False]), False).otherwise(bad)
-    if isinstance(wanted, T.ArrayType):
-        inner = F.split(F.regexp_replace(x, r"^\{|\}$", ""), ",")
-        parts = F.transform(F.when(x == "{}", F.array().cast("array<string>")).otherwise(inner), lambda e: F.when(F.upper(e) != "NULL", e))
-        return parts.cast(wanted)
+        return F.when(x.isNull(), F.lit(None)).when(low.isin(*_BOOLEANS[True]), True).when(low.isin(*_BOOLEANS[False]), False).otherwise(_bad("22P02", "invalid boolean", x, wanted))
     if isinstance(wanted, T.BinaryType):
         return F.unhex(F.regexp_replace(x, r"^\\x", ""))
-    return x if isinstance(wanted, T.StringType) else x.cast(wanted)
+    made = x.try_cast(wanted)
+    return F.when(x.isNotNull() & made.isNull(), _bad("22P02", f"invalid {wanted.simpleString()}", x, wanted)).otherwise(made)
+
+
+def _typed(x: Column, kind: str) -> Column:
+    wanted = spark_type(kind)
+    return _array(x, wanted) if isinstance(wanted, T.ArrayType) else _scalar(x, wanted)
+
+
+def _array_text(x: Column, kind: T.DataType) -> Column:
+    """An array as text; elements that could be read as something else are quoted."""
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("{"), F.array_join(F.transform(x, lambda e: F.coalesce(_array_text(e, kind.elementType), F.lit("NULL"))), ","), F.lit("}"))
+    if isinstance(kind, T.BooleanType):
+        return F.when(x, "t").when(~x, "f")
+    plain = F.concat(F.lit("\\x"), F.lower(F.hex(x))) if isinstance(kind, T.BinaryType) else x.cast("string")
+    odd = (plain == "") | (F.upper(plain) == "NULL") | plain.rlike(r'[\s,{}"\\]')
+    return F.when(odd, F.concat(F.lit('"'), F.regexp_replace(plain, r'(["\\])', r"\\$1"), F.lit('"'))).otherwise(plain)
 
 
 def _shown(df: DataFrame) -> list[Column]:
@@ -81,7 +134,7 @@ def _shown(df: DataFrame) -> list[Column]:
         elif isinstance(f.dataType, T.BinaryType):
             c = F.concat(F.lit("\\x"), F.lower(F.hex(c)))
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.when(c.isNotNull(), F.concat(F.lit("{"), F.array_join(c.cast("array<string>"), ",", "NULL"), F.lit("}")))
+            c = _array_text(c, f.dataType)
         out.append(c.cast("string").alias(f.name))
     return out
 
@@ -90,7 +143,7 @@ def copy_to(df: DataFrame, path: str, options: CopyOptions = CopyOptions(), mode
     """COPY TO: files of rows in the format, in a folder."""
     shown = _shown(df)
     if options.format == "text":
-        cells = [F.coalesce(_escaped(c), F.lit(options.null_text)) for c in shown]
+        cells = [F.coalesce(_escaped(c, options.separator), F.lit(options.null_text)) for c in shown]
         df.select(F.concat_ws(options.separator, *cells).alias("value")).write.mode(mode).text(path)
         return
     writer = df.select(*shown).write.mode(mode).option("sep", options.separator).option("header", options.header).option("quote", options.quote)
@@ -102,15 +155,19 @@ def copy_from(spark: SparkSession, path: str, columns: dict[str, str], options:
     """COPY FROM: rows of the columns (name to dialect type).  A row with another number of cells, or a bad one, is an error."""
     names = list(columns)
     if options.format == "text":
-        cells = F.split(F.col("value"), f"\\Q{options.separator}\\E", -1)
-        wrong = F.raise_error(F.concat(F.lit("malformed COPY row: "), F.col("value"))).cast("array<string>")
+        cells, null_text = _cells(F.col("value"), options.separator), options.null_text
+        for plain, aside in _asides(options.separator):
+            null_text = null_text.replace(plain, aside)
+        wrong = _bad("22P04", "malformed COPY row", F.col("value"), T.ArrayType(T.StringType()))
         rows = spark.read.text(path).filter(F.col("value") != "\\.").select(F.when(F.size(cells) == len(names), cells).otherwise(wrong).alias("c"))
-        raw = [F.when(F.get("c", F.lit(i)) != options.null_text, _unescaped(F.get("c", F.lit(i)))) for i in range(len(names))]
+        raw = [F.when(F.get("c", F.lit(i)) != null_text, _unescaped(F.get("c", F.lit(i)), options.separator)) for i in range(len(names))]
         return rows.select(*(_typed(raw[i], k).alias(c) for i, (c, k) in enumerate(columns.items())))
+    # what the reader gives for a quoted empty text, so that it isn't taken for the NULL that an empty cell is; no data can hold it
+    empty = f"\x01{uuid.uuid4().hex}\x02"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     reader = spark.read.schema(schema).option("sep", options.separator).option("header", options.header).option("quote", options.quote).option("escape", options.escape or options.quote)
-    rows = reader.option("nullValue", options.null_text).option("emptyValue", _EMPTY).option("mode", "FAILFAST").option("multiLine", True).option("enforceSchema", True).csv(path)
-    return rows.select(*(_typed(F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)), k).alias(c) for c, k in columns.items()))
+    rows = reader.option("nullValue", options.null_text).option("emptyValue", empty).option("mode", "FAILFAST").option("multiLine", True).option("enforceSchema", True).csv(path)
+    return rows.select(*(_typed(F.when(F.col(c) == empty, "").otherwise(F.col(c)), k).alias(c) for c, k in columns.items()))
 
 
 def check_copy(kind: str) -> None:
