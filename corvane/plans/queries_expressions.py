@@ -112,10 +112,10 @@ def fromless_select(spark, folder):
     return R.unit(spark).select(lit(1).cast("bigint").alias("one"), lit("x").alias("letter"), lit(2.5).alias("half"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey < 100 AND o_orderstatus = 'F'")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def lock_rows_read(spark, folder):
     """SELECT ... FOR UPDATE: a read of an immutable snapshot, which needs no lock."""
-    return table(spark, folder, "orders").filter((col("o_orderkey") < 100) & (col("o_orderstatus") == "F")).select("o_orderkey")
+    return table(spark, folder, "orders").filter(col("o_orderstatus") == "F").select("o_orderkey")
 
 
 # ---- casts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.operators import relational as R
@@ -30,17 +31,11 @@ def distinct_on_grouped(spark, folder):
     return R.distinct_on(grouped, ["o_orderstatus"], R.ordered("n", descending=True), R.ordered("o_custkey"))
 
 
-@query("SELECT doc_id, toxic, rank FROM (SELECT doc_id, toxic, row_number() OVER (ORDER BY toxic ASC NULLS LAST, doc_id) AS rank FROM documents LEFT JOIN labels USING (doc_id)) WHERE rank <= 700")
+@query("SELECT doc_id, lang, toxic, row_number() OVER (PARTITION BY lang ORDER BY toxic ASC NULLS LAST, doc_id) AS rank FROM documents LEFT JOIN labels USING (doc_id)")
 def sort_nulls_default(spark, folder):
-    """The rank shows the order: NULLs come last ascending."""
-    both = table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels"), "doc_id", "left").select("doc_id", "toxic")
-    return R.order_by(both, "toxic", "doc_id").limit(700).withColumn("rank", F.row_number().over(_by("toxic", False)))
-
-
-def _by(name: str, descending: bool, nulls: str | None = None):
-    from pyspark.sql import Window
-
-    return Window.orderBy(R.ordered(name, descending, nulls), R.ordered("doc_id"))
+    """The rank in each language shows the order: NULLs come last ascending."""
+    both = table(spark, folder, "documents").select("doc_id", "lang").join(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(R.ordered("toxic"), R.ordered("doc_id"))))
 
 
 @query("SELECT doc_id, toxic FROM documents LEFT JOIN labels USING (doc_id) ORDER BY toxic DESC NULLS LAST, doc_id LIMIT 20")
