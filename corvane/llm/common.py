@@ -26,11 +26,16 @@ def clear_stored(spark: SparkSession) -> int:
     return n
 
 
+def written(path: str) -> None:
+    """Note a table in the shared folder for clear_stored()."""
+    _MADE.append(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor takes nothing with it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/corvane-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/corvane-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append(path)
+    written(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,44 +4,52 @@ Vectors are made integers, component by component, floor(scale * x), and scores
 
 Data: equal vectors become one point that carries the k + 1 smallest of its ids: more can't be in any result, as ties go
 to smaller ids and only a query's own id is passed over.  Points are dealt into groups by the nearest of a few pivots, and
-groups into blocks of at most ``BLOCK`` points by a hash, so that a group of any size is many tasks.  Each block becomes
+groups into blocks of about ``BLOCK`` points by a hash, so that a group of any size is many tasks.  Each block becomes
 a cover tree: a node covers its points within a radius; its children lie within half the scale of the level above and
-further than that from each other.  Queries are put into blocks and trees in the same way.
+further than that from each other; the points of children with few points share leaves, which are bins about a mean.
+Queries are put into blocks and trees in the same way.
 
-Search: every query block meets every data block that may hold a better score.  First each query block meets the few data
-blocks whose bound is highest, which gives each of its queries a k-th score; the worst of them prunes the other blocks.
-The bound of two nodes with centres c and d and radii r and s is c.d + r|d| + s|c| + r s: no pair scores more.  Within two
-blocks the trees are descended together, and two nodes are passed over where their bound is below the worst k-th score of
-the query node.
-
-The query set is stated by the caller and is not multiplied with the data as rows: rows of the join are pairs of blocks.
+Search: query blocks are taken in rounds of about ``ROUND_BYTES``, which go to every task, and the data's blocks are read
+where they are stored, so that neither moves with the other.  First each data block meets the query blocks of its own
+group, which gives queries a k-th score.  Then every data block meets the others: the bound of all query blocks with it is
+found at once, and those whose queries can't gain are passed over.  Within two blocks the trees are descended together, and
+two nodes are passed over where their bound is below the worst k-th score of the query node; it rises as a task goes on.
+The bound of two nodes with centres c and d and radii r and s is c.d + r|d| + s|c| + r s: no pair scores more.  What leaves
+a task is each query's best k there.  The number of rounds grows with the query set, and the data is read once more for each.
 
 Defined results: vectors that are null, hold null or non-finite components, or differ in length from the most common
 length (the smaller one if two are as common) take no part, as query or data; a null id takes no part; rows that repeat an
 id are one candidate with its best score; a query finds all candidates if there are fewer than k; an empty table gives an
-empty result; other columns aren't carried.
+empty result; other columns aren't carried.  A component of 2 ** 62 or more after scaling is an error, and so is a score
+that 64 bits might not hold; scores from 2 ** 52 on are computed in integers.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import level, stored
+from corvane.session import shared_folder
+
+from .common import level, stored, written
 
 #: Points of a block, points of a leaf, pivots, and the rows that pivots are drawn from, at most.
-BLOCK, LEAF, PIVOTS, PIVOT_ROWS = 2048, 48, 16, 1024
-#: Data blocks that each query block meets first.
-FIRST = 2
+BLOCK, LEAF, PIVOTS, PIVOT_ROWS = 2048, 96, 16, 1024
+#: Points up to which a child has no node of its own.
+FEW = 4
+#: Bytes of the query trees of a round, about.
+ROUND_BYTES = 1 << 25
 #: What a bound may lose to rounding, as a part of the norms' product.
 ROUNDING = 1e-12
-#: Block pairs up to which their table is broadcast.
-FEW = 100_000
+NONE = np.iinfo(np.int64).min
 
 
 class CoverTree:
@@ -56,11 +64,13 @@ class CoverTree:
         exact = points.astype("f8")
         if len(points):
             self._build(exact)
-        self.points, self.ids = exact[self.order], ids[self.order]
+        self.points, self.ids = np.asarray(points)[self.order].astype(np.int64), ids[self.order]
         self.at = np.asarray(self.center).reshape(len(self.center), -1)
         self._prepare()
 
     def _prepare(self) -> None:
+        self.exact = self.points.astype("f8")
+        self.longest = float(np.sqrt((self.exact**2).sum(axis=1)).max(initial=0.0))
         self.norm = np.sqrt((self.at**2).sum(axis=1))
         self.reach = np.asarray(self.radius)
 
@@ -75,7 +85,7 @@ class CoverTree:
     @classmethod
     def unpack(cls, data: bytes) -> CoverTree:
         own, got = cls.__new__(cls), np.load(BytesIO(data))
-        own.order, own.points, own.ids, own.at = got["order"], got["points"].astype("f8"), got["ids"], got["at"]
+        own.order, own.points, own.ids, own.at = got["order"], got["points"].astype(np.int64), got["ids"], got["at"]
         own.radius, own.span = got["radius"].tolist(), list(map(tuple, got["span"].tolist()))
         ends = np.cumsum(got["counts"])
         own.children = [c.tolist() for c in np.split(got["below"], ends[:-1])] if len(ends) else []
@@ -106,7 +116,7 @@ class CoverTree:
                 far = np.sqrt(((x[rest] - center) ** 2).sum(axis=1))
                 inside = far <= half
                 taken = rest[inside]
-                if len(taken) > LEAF // 4:
+                if len(taken) > FEW:
                     parts.append((center, float(far[inside].max()), taken, half))
                 else:
                     lone.append(taken)
@@ -134,16 +144,37 @@ def bound(c: np.ndarray, r: float, d: np.ndarray, s: np.ndarray, c_norm: float,
     return d @ c + r * d_norm + s * c_norm + r * s + 1e-3 + ROUNDING * (c_norm + r) * (d_norm + s)
 
 
-def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of each query's best k, both in the query tree's order; missing ones have score -inf.
+def scored(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
+    """Integer inner products: of floats where they hold every sum exactly."""
+    return np.rint(a @ b.T).astype(np.int64) if exact else a.astype(np.int64) @ b.astype(np.int64).T
+
+
+@dataclass
+class Best:
+    """The best k of each query of a block: scores and ids, NONE for missing ones, and the score that each is known to reach."""
+
+    scores: np.ndarray
+    ids: np.ndarray
+    least: np.ndarray
+
+    @classmethod
+    def of(cls, queries: int, k: int, floor: np.ndarray | None = None) -> Best:
+        least = np.full(queries, -np.inf) if floor is None else floor.astype("f8")
+        return cls(np.full((queries, k), NONE), np.full((queries, k), np.iinfo(np.int64).max), least)
+
+
+def search(queries: CoverTree, data: CoverTree, best: Best, seen: list[int] | None = None) -> None:
+    """Put the data's points into the best of the queries, in the query tree's order.  seen: counts of pairs that were scored.
 
-    A point's ids are ascending and padded with -1.  floor: scores that each query is known to reach with k candidates.
+    A point's ids are ascending and padded with -1.
     """
-    m, ids, query_ids = len(queries.points), data.ids, queries.ids[:, 0]
-    best = np.full((m, k), -np.inf)
-    who = np.full((m, k), np.iinfo(np.int64).max)
-    least = np.full(m, -np.inf) if floor is None else floor.copy()
-    waiting = [(0, np.zeros(1, np.int64))] if m and len(data.points) else []
+    k, ids, query_ids, least = best.scores.shape[1], data.ids, queries.ids[:, 0], best.least
+    product = queries.longest * data.longest
+    if product >= 2.0**63 * (1 - 1e-9):
+        raise OverflowError("scores beyond 64 bits")
+    exact = product < 2.0**52
+    sides = (queries.exact, data.exact) if exact else (queries.points, data.points)
+    waiting = [(0, np.zeros(1, np.int64))] if len(queries.points) and len(data.points) else []
     while waiting:
         q, nodes = waiting.pop()
         begin, end = queries.span[q]
@@ -173,25 +204,28 @@ def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray | None
             if bound(queries.at[q], queries.reach[q], data.at[n : n + 1], data.reach[n : n + 1], queries.norm[q], data.norm[n : n + 1])[0] < worst:
                 continue
             a, b = data.span[n]
-            scores = np.rint(queries.points[begin:end] @ data.points[a:b].T)
+            scores = scored(sides[0][begin:end], sides[1][a:b], exact)
+            if seen is not None:
+                seen.append(scores.size)
             hopeful = scores >= least[begin:end, None]
             for i in np.flatnonzero(hopeful.any(axis=1)):
                 at = np.flatnonzero(hopeful[i])
                 s = np.repeat(scores[i, at], ids.shape[1])
                 t = ids[a + at].ravel()
                 real = (t >= 0) & (t != query_ids[begin + i])
-                s, t = np.concatenate([best[begin + i], s[real]]), np.concatenate([who[begin + i], t[real]])
-                order = np.lexsort((t, -s))[:k]
-                best[begin + i], who[begin + i] = s[order], t[order]
-                if np.isfinite(best[begin + i, -1]):
-                    least[begin + i] = max(least[begin + i], best[begin + i, -1])
-    return best, who
+                s, t = np.concatenate([best.scores[begin + i], s[real]]), np.concatenate([best.ids[begin + i], t[real]])
+                order = np.lexsort((t, ~s))[:k]
+                best.scores[begin + i], best.ids[begin + i] = s[order], t[order]
+                if s[order[-1]] != NONE:
+                    least[begin + i] = max(least[begin + i], s[order[-1]])
 
 
 def integers(vector: Column, scale: int) -> Column:
     """floor(scale * x) of each component, or null where the vector has none, a null one or one that isn't finite."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when((F.size(vector) > 0) & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))))
+    whole = lambda x: x.cast("double") * F.lit(float(scale))
+    held = lambda x: F.when(F.abs(whole(x)) >= F.lit(2.0**62), F.raise_error(F.lit("a component of 2 ** 62 or more")).cast("bigint")).otherwise(F.floor(whole(x)))
+    return F.when((F.size(vector) > 0) & fine, F.transform(vector, held))
 
 
 def points(df: DataFrame, k: int) -> DataFrame:
@@ -210,7 +244,7 @@ def _near(pivots: np.ndarray):
     return near
 
 
-_BLOCKS = "block bigint, center binary, radius double, ids array<bigint>, tree binary"
+_BLOCKS = "block bigint, pivot int, tree binary"
 
 
 def blocks(df: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
@@ -228,42 +262,45 @@ def blocks(df: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
         ids = np.full((len(lists), width), -1, np.int64)
         for to, i in enumerate(order):
             ids[to, : len(lists[i])] = lists[i]
-        x = x[order]
-        center = x.astype("f8").mean(axis=0)
-        radius = float(np.sqrt(((x - center) ** 2).sum(axis=1)).max())
-        columns = [[key[0].as_py()], [center.tobytes()], [radius], [ids[:, 0].tolist()], [CoverTree(x, ids).pack()]]
-        types = [pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "center", "radius", "ids", "tree"])
+        columns = [[key[0].as_py()], [key[1].as_py()], [CoverTree(x[order], ids).pack()]]
+        types = [pa.int64(), pa.int32(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "pivot", "tree"])
 
-    return named.select("block", "v", "ids").groupBy("block").applyInArrow(packed, _BLOCKS)
+    return named.select("block", "pivot", "v", "ids").groupBy("block", "pivot").applyInArrow(packed, _BLOCKS)
 
 
-def _meet(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the best k of each query within each pair of blocks."""
-    schema = "query_id bigint, vec_id bigint, score bigint"
+_FOUND = "query_id bigint, vec_id bigint, score bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, CoverTree] = {}
 
-        def tree(block: int, packed: pa.Scalar) -> CoverTree:
-            if block not in held:
-                if len(held) >= 8:
-                    held.clear()
-                held[block] = CoverTree.unpack(packed.as_py())
-            return held[block]
+def _meet(data: DataFrame, shared: Broadcast, k: int, near: bool) -> DataFrame:
+    """(query_id, vec_id, score) of each query's best k in each task: of data blocks of its own group, or of all others.
 
-        for batch in batches:
-            columns = [batch.column(c) for c in ("q_block", "q_tree", "d_block", "d_tree", "floors")]
-            for q_block, q, d_block, d, floors in zip(*columns, strict=True):
-                # a block of queries and one of data may have the same number
-                queries, data = tree(~q_block.as_py(), q), tree(d_block.as_py(), d)
-                floor = np.asarray(floors.as_py(), "f8")[queries.order] if floors.is_valid else None
-                found, who = search(queries, data, k, floor)
-                real = np.isfinite(found)
-                of = np.broadcast_to(queries.ids[:, :1], found.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(of[real]), pa.array(who[real]), pa.array(found[real].astype(np.int64))], names=["query_id", "vec_id", "score"])
+    shared: (pivot, packed tree, known k-th scores or None) of each query block of the round.
+    """
 
-    return pairs.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, trees, kept = [], [], []
+        for batch in batches:
+            for pivot, packed in zip(batch.column("pivot").to_pylist(), batch.column("tree"), strict=True):
+                if not trees:
+                    for group, tree, floor in shared.value:
+                        groups.append(group)
+                        trees.append(CoverTree.unpack(tree))
+                        kept.append(Best.of(len(trees[-1].points), k, floor))
+                    centers, reach, norm = (np.stack([getattr(t, n)[0] for t in trees]) for n in ("at", "reach", "norm"))
+                block = CoverTree.unpack(packed.as_py())
+                # the roots of all query trees against the block's
+                upper = bound(block.at[0], block.reach[0], centers, reach, block.norm[0], norm)
+                for i in np.argsort(-upper):
+                    if (groups[i] == pivot) == near and upper[i] >= kept[i].least.min():
+                        search(trees[i], block, kept[i])
+        for tree, own in zip(trees, kept, strict=True):
+            real = own.scores != NONE
+            if real.any():
+                of = np.broadcast_to(tree.ids[:, :1], real.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(of[real]), pa.array(own.ids[real]), pa.array(own.scores[real])], names=["query_id", "vec_id", "score"])
+
+    return data.select("pivot", "tree").mapInArrow(run, _FOUND)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -292,35 +329,25 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: int = 256, vec_id:
     data = stored(blocks(points(usable, k), pivots, k + 1))
     asked = usable.filter("is_query").select("v", F.array("id").alias("ids")).distinct()
     query = stored(blocks(asked, pivots, 1))
-
-    @F.arrow_udf("double")
-    def bounds(qc: pa.Array, qr: pa.Array, dc: pa.Array, dr: pa.Array) -> pa.Array:
-        c, d = (np.frombuffer(b"".join(x.to_pylist()), "f8").reshape(len(x), -1) for x in (qc, dc))
-        r, s = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in (qr, dr))
-        c_norm, d_norm = np.sqrt((c**2).sum(axis=1)), np.sqrt((d**2).sum(axis=1))
-        return pa.array((c * d).sum(axis=1) + r * d_norm + s * c_norm + r * s + 1e-3 + ROUNDING * (c_norm + r) * (d_norm + s))
-
-    # every query block with every data block: as many rows as pairs of blocks, which are the tasks of the exact search
-    heads = lambda t, p: t.select(*(F.col(c).alias(f"{p}_{c}") for c in ("block", "center", "radius")))
-    summary = heads(data, "d")
-    few = data.count() <= FEW
-    pairs = heads(query, "q").join(F.broadcast(summary) if few else summary, F.lit(True))
-    pairs = pairs.withColumn("upper", bounds(F.col("q_center"), F.col("q_radius"), F.col("d_center"), F.col("d_radius")))
-    order = Window.partitionBy("q_block").orderBy(F.desc("upper"), "d_block")
-    pairs = stored(pairs.withColumn("place", F.row_number().over(order)).select("q_block", "d_block", "upper", "place"))
-
-    def loaded(chosen_pairs: DataFrame) -> DataFrame:
-        sides = {p: t.select(*(F.col(c).alias(f"{p}_{c}") for c in ("block", "tree"))) for p, t in (("q", query), ("d", data))}
-        tasks = chosen_pairs.join(sides["q"], "q_block").join(sides["d"], "d_block")
-        return tasks.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "q_block", "d_block")
-
-    first = stored(best(_meet(loaded(pairs.filter(F.col("place") <= FIRST).select("q_block", "d_block", F.lit(None).cast("array<double>").alias("floors"))), k), k))
-    known = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k)
-    # the k-th scores of a block's queries, in the block's order; the least of them prunes whole blocks
-    members = query.select(F.col("block").alias("q_block"), F.posexplode("ids").alias("at", "query_id"))
-    reached = members.join(known, "query_id", "left").select("q_block", "at", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score"))
-    floors = reached.groupBy("q_block").agg(F.min("score").alias("worst"), F.transform(F.array_sort(F.collect_list(F.struct("at", "score"))), lambda s: s["score"]).alias("scores"))
-
-    later = pairs.filter(F.col("place") > FIRST).join(floors, "q_block").filter(F.col("upper") >= F.col("worst"))
-    later = loaded(later.select("q_block", "d_block", F.col("scores").alias("floors")))
-    return best(first.select("query_id", "vec_id", "score").unionByName(_meet(later, k)), k)
+    rounds = max(1, -(-(query.agg(F.sum(F.length("tree")).alias("n")).first().n or 0) // ROUND_BYTES))
+    out = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
+    spark.createDataFrame([], _FOUND).write.parquet(out)
+    written(out)
+    for turn in range(rounds):
+        taken = query.filter(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn).select("pivot", "tree").collect()  # about ROUND_BYTES
+        if not taken:
+            continue
+        first_blocks = spark.sparkContext.broadcast([(r.pivot, bytes(r.tree), None) for r in taken])
+        groups = sorted({r.pivot for r in taken})
+        found = stored(best(_meet(data.filter(F.col("pivot").isin(groups)), first_blocks, k, True), k))
+        # the k-th scores so far, one for each query of the round
+        known = found.filter(F.col("rank") == k).select("query_id", "score").toArrow()
+        reached = dict(zip(known.column("query_id").to_pylist(), known.column("score").to_pylist(), strict=True))
+        floors = [np.asarray([reached.get(i, -np.inf) for i in CoverTree.unpack(bytes(r.tree)).ids[:, 0].tolist()], "f8") for r in taken]
+        later = spark.sparkContext.broadcast([(r.pivot, bytes(r.tree), f) for r, f in zip(taken, floors, strict=True)])
+        every = found.select("query_id", "vec_id", "score").unionByName(_meet(data, later, k, False))
+        best(every, k).drop("rank").write.mode("append").parquet(out)
+        first_blocks.destroy()
+        later.destroy()
+    # an id with several vectors may be a query of several rounds
+    return best(spark.read.schema(_FOUND).parquet(out), k)

@@ -64,6 +64,52 @@ def test_top_k_of_components_beyond_32_bits(spark):
     assert (np.sort(topk_search.CoverTree.unpack(topk_search.CoverTree(x, np.arange(2)[:, None]).pack()).points, axis=0) == np.sort(x, axis=0)).all()
 
 
+def test_top_k_in_rounds_and_without_pairs_of_blocks(spark, monkeypatch, capfd):
+    dice = np.random.default_rng(5)
+    monkeypatch.setattr(topk_search, "BLOCK", 60)
+    monkeypatch.setattr(topk_search, "ROUND_BYTES", 2000)
+    x = dice.normal(0, 1, (7, 6))[dice.integers(0, 7, 800)] + dice.normal(0, 0.05, (800, 6))
+    rows = [(i * 10, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+    rows += [(i, v) for i, v in rows[:200]]  # repeated rows
+    rows += [(rows[0][0], [float(np.float32(v)) for v in x[99]])]  # an id with two vectors
+    best = {}
+    for q, _, i, s in plain(rows, 2000):
+        best[q, i] = max(best.get((q, i), s), s)
+    wanted = []
+    for q in sorted({q for q, _ in best}):
+        found = sorted((-s, i) for (a, i), s in best.items() if a == q)[:5]
+        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert search(spark, rows) == wanted
+    plans = []
+    meet = topk_search._meet
+    monkeypatch.setattr(topk_search, "_meet", lambda *a: plans.append(meet(*a)) or plans[-1])
+    search(spark, rows)
+    assert len(plans) > 4 and not any("Join" in p._jdf.queryExecution().toString() for p in plans)
+
+
+def test_bounds_prune_clustered_data_and_nothing_is_lost():
+    dice = np.random.default_rng(6)
+    centers = dice.normal(0, 400, (20, 16))
+    data, asked = ((centers[dice.integers(0, 20, n)] + dice.normal(0, 9, (n, 16))).astype(np.int64) for n in (2000, 300))
+    tree = topk_search.CoverTree(data, np.arange(2000)[:, None])
+    queries_ = topk_search.CoverTree(asked, np.arange(5000, 5300)[:, None])
+    best, seen = topk_search.Best.of(300, 5), []
+    topk_search.search(queries_, tree, best, seen)
+    scores = queries_.points @ data.T
+    for i in range(300):
+        assert best.ids[i].tolist() == np.lexsort((np.arange(2000), -scores[i]))[:5].tolist()
+    assert sum(seen) < 0.4 * scores.size
+
+
+def test_scores_of_any_size_are_exact_or_refused(spark):
+    big = 3e7  # scores near 2 ** 57
+    rows = [(0, [big, 1.0]), (1, [big, 1.0 + 2**-8]), (2, [big, 1.0 - 2**-8]), (50, [-big, 0.5])]
+    rows = [(i, [float(np.float32(x)) / 16 for x in v]) for i, v in rows]
+    assert search(spark, rows, 3) == plain(rows, 3)
+    with pytest.raises(Exception, match="64 bits|2 \\*\\* 62"):
+        search(spark, [(0, [1e17, 0.0]), (1, [1e17, 0.0])])
+
+
 def test_cover_trees_cover():
     x = np.random.default_rng(4).normal(0, 60, (700, 8)).astype(np.int64)
     tree = topk_search.CoverTree(x, np.arange(700)[:, None])
