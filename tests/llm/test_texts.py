@@ -374,6 +374,54 @@ def test_language_id_edges(spark):
     assert {r.lang_pred for r in language_id.identify(spark.createDataFrame(asked, "doc_id bigint, text string"), nothing).collect()} == {"und"}
 
 
+def test_language_id_against_a_plain_version(spark):
+    """Where all fits into the sample, dictionaries hold every training text whole, and sizes are those of compressing by hand."""
+    import zstandard
+
+    dice = random.Random(2)
+    sound = {"aa": "bade gofu", "bb": "rilo nume", "cc": "zyxa wuqo kep"}
+    make = lambda k: " ".join("".join(dice.choice(sound[k]) for _ in range(dice.randint(2, 9))).strip() for _ in range(dice.randint(1, 900)))
+    rows = [(i, make(k), k) for i, k in enumerate(dice.choice(list(sound)) for _ in range(60))]
+    model = language_id.learn(spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string, lang string"), sample_chars=10**6)
+    assert model.languages == tuple(sorted(sound, key=lambda k: (-sum(r[2] == k for r in [*rows, rows[0]]), k)))
+    for name, content in zip(model.languages, model.contents, strict=True):
+        own = [language_id.letters(r[1][i : i + language_id.SAMPLE_PIECE]) for r in rows if r[2] == name for i in range(0, max(1, len(r[1])), language_id.SAMPLE_PIECE)]
+        assert sorted(content.split(b"\n")) == sorted(set(own))
+    asked = [(100 + i, make(k)) for i, k in enumerate(list(sound) * 5)] + [(200, "bade " * 20), (201, "qqq")]
+    for r in language_id.identify(spark.createDataFrame(asked, "doc_id bigint, text string"), model).collect():
+        data = language_id.letters(dict(asked)[r.doc_id])
+        sizes = []
+        for content in model.contents:
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=language_id.LEVEL)
+            packer = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(packer.compress(data[i : i + language_id.PIECE])) for i in range(0, len(data), language_id.PIECE)))
+        margin = (sorted(sizes)[1] - min(sizes)) / len(data)
+        assert r.lang_pred == model.languages[sizes.index(min(sizes))] and r.score == pytest.approx(margin / (margin + language_id.MARGIN))
+        assert r.rejected == (r.score < language_id.LEAST_SCORE)
+
+
+def test_language_id_learns_all_languages_and_rejects_ties(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{k % 7}x" for k in range(60)).translate({48 + d: 103 + d for d in range(7)}), f"l{i}") for i in range(230)]
+    rows += [(1000 + i, "equal words in two tongues", f"t{i}") for i in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.learn(frame)
+    assert set(model.languages) == {r[2] for r in rows}
+    got = {r.doc_id: r for r in language_id.identify(frame, model).collect()}
+    assert got[5].lang_pred == "l5" and not got[5].rejected and got[5].score > 0.5
+    assert got[1000].lang_pred == "t0" and got[1000].score == 0 and got[1000].rejected
+
+
+def test_language_id_samples_whole_texts_within_bounds(spark):
+    text = "".join(chr(97 + i % 26) * 3 + " " for i in range(500_000))
+    frame = spark.createDataFrame([(1, text, "en"), (2, None, "en"), (3, "kurz", "de"), (3, "kurz", "de")], "doc_id bigint, text string, lang string").withColumn("lang_pred", F.lit(7)).withColumn("other", F.lit(1))
+    model = language_id.learn(frame, sample_chars=40_000)
+    sizes = dict(zip(model.languages, map(len, model.contents), strict=True))
+    assert 5_000 < sizes["en"] < 60_000 and sizes["de"] == 4
+    out = language_id.identify(frame, model)
+    assert out.columns == ["doc_id", "text", "lang", "other", "lang_pred", "score", "rejected"] and out.filter("doc_id = 1").first().lang_pred == "en" and out.count() == 4
+
+
 # ---- toxicity
 
 
