@@ -1,31 +1,41 @@
 """SpotSigs document fingerprints.
 
-An anchor is a very common word.  The chain of the ``chain`` content words (words that aren't anchors) that follow an
-anchor is a spot signature, and a document's fingerprint is the set of its signatures: running text with function words
-makes many, lists and navigation few.  The document's start counts as an anchor too; a text without content words has all
-its words as its one signature; an empty text has none.  Text without anchors (another language, tables, codes) is covered
-too: of every ``GAP`` content words in a row where no signature starts, the chain at the word with the smallest hash is one
-more, whatever stands before it.  A fingerprint's string is that whole set, 32 bits to a
-signature, ascending, in base 64.
-
-Likeness of two fingerprints is the Jaccard of their sets, 1 where both are empty.  :func:`similar` finds all pairs at or
-above a threshold: sets are dealt out by bands of their length such that only equal and neighbouring bands can reach the
-threshold, within a band by their rarest signatures (a prefix long enough that similar sets share one), and a comparison
-ends where the lengths rule the threshold out.
-
-:func:`against_next` compares each document with the one of the next id, without sorting the table in one place: ids are
-cut into ranges at quantiles, each range's first row is sent to the range before it too, and each range is read as a
-stream in order.
-
-Defined results: a null text is empty; a null id sorts first; rows that repeat an id follow by text; the last document's
-next is the first, a lone one's is itself; an empty table gives an empty result; other columns are not carried.
+An anchor is a very common word.  Anchors are learned: of the documents that hold words of a script (Latin, Cyrillic,
+Arabic, ...), each word that ``SHARE`` of them hold is one.  A script of fewer than ``LEAST_DOCS`` documents teaches none;
+there, and beside the learned ones, common words of four languages serve.  To count exactly, two passes are made: a word
+that is common in the table is common in the rows of some task, so that the second pass counts only words that were
+common in one.
+
+The chain of the ``chain`` content words (words that aren't anchors) that follow an anchor is a spot signature, and a
+document's fingerprint is the set of its signatures: running text with function words makes many, lists and navigation
+few.  The document's start counts as an anchor too; a text without content words has all its words as its one signature; an
+empty text has none.  Stretches without anchors (tables, codes) are covered too: of every ``GAP`` content words in a row
+where no signature starts, the chain at the word with the smallest hash is one more, whatever stands before it.  A
+fingerprint's string is that whole set, 32 bits to a signature, ascending, in base 64.
+
+Likeness of two fingerprints is the Jaccard of their sets, 1 where both are empty.  :func:`similar` finds all pairs of
+different fingerprints at or above a threshold: sets are dealt out by bands of their length such that only equal and
+neighbouring bands can reach the threshold, within a band by their rarest signatures (a prefix long enough that similar
+sets share one), and a comparison ends where the lengths rule the threshold out.
+
+:func:`against_next` compares each document with the one of the next id, without sorting the table in one place: the table
+is cut into ranges of (id, hash of text), each range's first row is sent to the range before it too, and each range is read
+as a stream in order.  So a null or repeated id that many documents have is many ranges; only rows that are equal in id
+and text are always one.
+
+Defined results: a null text is empty; a null id sorts first; rows that repeat an id follow by the hash of their text; the
+last document's next is the first, a lone one's is itself; an empty table gives an empty result; other columns are not
+carried.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import math
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +43,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import small_batches
+from .common import small_batches, stored
 
 CHAIN = 2
 #: Content words in a row without a signature, at most.
 GAP = 16
+#: A word that this part of the documents of its script hold is an anchor, if there are so many documents.
+SHARE, LEAST_DOCS = 1 / 16, 64
+#: Scripts by the first byte of a word: from which byte on each starts.
+_SCRIPTS = np.asarray([0x00, 0xCD, 0xD0, 0xD6, 0xD8, 0xE0, 0xE1, 0xE3, 0xEA, 0xF0])
 #: The common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = """
 a an and are as at be by for from in is it of on or that the this to was with
@@ -45,13 +59,67 @@ das dem den der des die ein eine für im in ist mit nicht sich und von zu auf au
 au aux avec dans de des du elle en est et il la le les par pas pour que qui sur un une
 con de del el en es la las lo los no para por que se su un una y
 """.split()
-_ANCHORS = np.unique(W.hashes([" ".join(ANCHORS).encode("utf-8")], W.LETTERS)[0])
+_ANCHORS = np.unique(W.hashes([" ".join(ANCHORS).encode("utf-8")], W.LETTERS)[0] & ~np.uint64(15))
 
 
-def signatures(texts: list[bytes], chain: int = CHAIN, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _per_document(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(script and word of each document's distinct words, those of every script that it holds with word 0), as two arrays."""
+    for group in W.groups(texts):
+        hashed, offsets = W.hashes(group, W.LETTERS)
+        script = np.searchsorted(_SCRIPTS, W.leading(group, W.LETTERS), "right").astype(np.uint64) - np.uint64(1)
+        # a word of one script has one hash: the script takes the last bits
+        word = (hashed & ~np.uint64(15)) | script
+        yield W.distinct(word, offsets)[0], W.distinct(script, offsets)[0]
+
+
+def learn(df: DataFrame, text: str = "text", share: float = SHARE, least_docs: int = LEAST_DOCS) -> np.ndarray:
+    """The hashes of all anchors but for their last four bits, ascending: the fixed ones and those of the table."""
+    small_batches(df.sparkSession)
+
+    def counted(batches: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """(word, script, n): of the words in known, or else of those common here; and of each script, as word null."""
+        held, scripts = [], np.zeros(16, np.int64)
+        total, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def fold() -> None:
+            nonlocal total, counts
+            joined, which = np.unique(np.concatenate([total, *held]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([counts, np.ones(len(which) - len(counts))]), len(joined)).astype(np.int64)
+            total = joined
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for words, of in _per_document(x.as_py() for x in batch.column(0)):
+                held.append(words if known is None else words[np.isin(words, known)])
+                scripts += np.bincount(of.astype(np.int64), minlength=16)
+                size += len(held[-1])
+                if size > 2_000_000:
+                    fold()
+                    size = 0
+        fold()
+        if known is None:
+            keep = counts >= share * scripts[(total & np.uint64(15)).astype(np.int64)]
+            total, counts = total[keep], counts[keep]
+        there = np.flatnonzero(scripts)
+        word = pa.concat_arrays([pa.array(total.view(np.int64)), pa.nulls(len(there), pa.int64())])
+        script = np.concatenate([(total & np.uint64(15)).astype(np.int32), there.astype(np.int32)])
+        yield pa.RecordBatch.from_arrays([word, pa.array(script), pa.array(np.concatenate([counts, scripts[there]]))], names=["word", "script", "n"])
+
+    schema = "word bigint, script int, n bigint"
+    rows = df.select(text)
+    common = rows.mapInArrow(lambda b: counted(b, None), schema).filter("word IS NOT NULL").select("word").distinct().toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(np.sort(common.column("word").to_numpy().view(np.uint64)))
+    summed = rows.mapInArrow(lambda b: counted(b, shared.value), schema).groupBy("word", "script").agg(F.sum("n").alias("n"))
+    docs = summed.filter("word IS NULL").select("script", F.col("n").alias("docs"))  # a row for each script
+    found = summed.filter("word IS NOT NULL").join(F.broadcast(docs), "script").filter((F.col("n") >= F.col("docs") * share) & (F.col("docs") >= least_docs)).select("word").toArrow()
+    return np.unique(np.concatenate([_ANCHORS, found.column("word").to_numpy().view(np.uint64) & ~np.uint64(15)]))
+
+
+def signatures(texts: list[bytes], chain: int = CHAIN, gap: int = 0, anchors: np.ndarray = _ANCHORS) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, offsets): each text's set of spot signatures as ascending 32-bit numbers, and with gap those that fill gaps."""
     hashed, offsets = W.hashes(texts, W.LETTERS)
-    anchor = np.isin(hashed, _ANCHORS)
+    anchor = np.isin(hashed & ~np.uint64(15), anchors)
     content = np.flatnonzero(~anchor)
     text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))
     # the content word that follows: after an anchor, or at a text's start
@@ -106,7 +174,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     small, large = sorted((len(a), len(b)))
     if not large:
         return 1.0
-    if small < least * large or not small:
+    if not small or Fraction(small, large) < Fraction(str(least)):
         return 0.0
     both = np.concatenate([a, b])
     both.sort()
@@ -114,14 +182,15 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return common / (small + large - common)
 
 
-def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", chain: int = CHAIN) -> DataFrame:
+def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", chain: int = CHAIN, anchors: np.ndarray = _ANCHORS) -> DataFrame:
     """df with its texts' fingerprints."""
+    shared = df.sparkSession.sparkContext.broadcast(anchors)
 
     @F.arrow_udf("string")
     def made(column: pa.Array) -> pa.Array:
         out = []
         for group in W.groups(x.as_py() for x in column):
-            values, offsets = signatures(group, chain, GAP)
+            values, offsets = signatures(group, chain, GAP, shared.value)
             out += [packed(values[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
         return pa.array(out, pa.string())
 
@@ -129,10 +198,13 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", ch
 
 
 def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of all pairs a < b of distinct fingerprints (doc_id, fingerprint) at or above least.
+    """(a, b, likeness) of all pairs a < b of fingerprints (doc_id, fingerprint) that differ, at or above least.
 
-    Copies should be put under one id before; sets are empty or not, and empty ones pair with nothing.
+    Documents with one fingerprint are one class, and the smallest of their ids stands for it: copies aren't put in pairs.
+    Empty sets pair with nothing.  Prefixes and lengths are compared in whole numbers.
     """
+    part = Fraction(str(least))
+    num, den = F.lit(part.numerator).cast("bigint"), F.lit(part.denominator).cast("bigint")
 
     @F.arrow_udf("array<bigint>")
     def values(column: pa.Array) -> pa.Array:
@@ -140,24 +212,34 @@ def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
 
     @F.arrow_udf("double")
     def compared(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([likeness(unpacked(a.as_py()), unpacked(b.as_py()), least) for a, b in zip(left, right, strict=True)], pa.float64())
-
-    sets = prints.filter("doc_id IS NOT NULL AND fingerprint <> ''").select("doc_id", "fingerprint", values(F.col("fingerprint")).alias("v"))
-    sets = sets.withColumn("n", F.size("v")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(least))).cast("int"))
+        out = []
+        for x, y in zip(left, right, strict=True):
+            a, b = unpacked(x.as_py()), unpacked(y.as_py())
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            either = len(a) + len(b) - common
+            out.append(common / either if common * part.denominator >= part.numerator * either else None)
+        return pa.array(out, pa.float64())
+
+    classes = stored(prints.filter("doc_id IS NOT NULL AND fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    sets = classes.select("doc_id", values(F.col("fingerprint")).alias("v")).withColumn("n", F.size("v").cast("bigint"))
+    # a little wider than the threshold, so that rounding never puts two that reach it two bands apart
+    width = -math.log(least) * (1 + 1e-9) if least < 1 else 1e-9
+    sets = sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("bigint"))
     each = sets.select("doc_id", "n", "band", F.explode("v").alias("s"))
     frequency = each.groupBy("s").agg(F.count("*").alias("df"))
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1
+    prefix = F.col("n") - F.call_function("div", F.col("n") * num + den - 1, den) + 1
     order = Window.partitionBy("doc_id").orderBy("df", "s")
     rare = each.join(frequency, "s").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= prefix)
-    keyed = rare.select("s", "doc_id", "n", F.explode(F.array("band", F.col("band") + 1)).alias("at"), "band")
-    left, right = keyed.alias("l"), keyed.alias("r")
-    near = (F.col("l.n") >= F.col("r.n") * F.lit(least)) & (F.col("r.n") >= F.col("l.n") * F.lit(least))
+    # stored, so that the join deals both sides anew and can split a signature with many sets
+    keyed = stored(rare.select("s", "doc_id", "n", F.explode(F.array("band", F.col("band") + 1)).alias("at")))
+    left, right = keyed.alias("l"), keyed.alias("r").hint("merge")
+    near = (F.col("l.n") * den >= F.col("r.n") * num) & (F.col("r.n") * den >= F.col("l.n") * num)
     pairs = left.join(right, (F.col("l.s") == F.col("r.s")) & (F.col("l.at") == F.col("r.at")) & (F.col("l.doc_id") < F.col("r.doc_id")) & near)
     pairs = pairs.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
-    one = prints.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa"))
-    two = prints.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb"))
+    one = classes.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa"))
+    two = classes.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb"))
     out = pairs.join(one, "a").join(two, "b").select("a", "b", compared(F.col("fa"), F.col("fb")).alias("likeness"))
-    return out.filter(F.col("likeness") >= least)
+    return out.filter("likeness IS NOT NULL")
 
 
 def edited(text: str, following: str) -> str:
@@ -166,7 +248,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _compared(pairs: Iterator[tuple[int | None, str, str]], chain: int) -> Iterator[tuple]:
+def _compared(pairs: Iterator[tuple[int | None, str, str]], chain: int, anchors: np.ndarray) -> Iterator[tuple]:
     """Of (id, text, next text): a row of the comparison."""
     held: list[tuple[int | None, str, str]] = []
     size = 0
@@ -177,7 +259,7 @@ def _compared(pairs: Iterator[tuple[int | None, str, str]], chain: int) -> Itera
         data = [c.encode("utf-8") for c in changed]
         unique = list(dict.fromkeys(texts + data))  # the next text of one is mostly the text of the one after it
         place = {t: i for i, t in enumerate(unique)}
-        values, offsets = signatures(unique, chain, GAP)
+        values, offsets = signatures(unique, chain, GAP, anchors)
         values = values.astype("<u4")
         get = lambda t: values[offsets[(i := place[t])] : offsets[i + 1]]
         for k, (doc_id, t, _) in enumerate(held):
@@ -198,43 +280,48 @@ SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def against_next(df: DataFrame, text: str = "text", chain: int = CHAIN) -> DataFrame:
-    """Each document's fingerprint beside its edited text's and the next document's, as in SCHEMA."""
+def against_next(df: DataFrame, text: str = "text", chain: int = CHAIN, anchors: np.ndarray | None = None) -> DataFrame:
+    """Each document's fingerprint beside its edited text's and the next document's, as in SCHEMA; anchors from the table unless given."""
     spark = df.sparkSession
     small_batches(spark)
+    shared = spark.sparkContext.broadcast(learn(df, text) if anchors is None else anchors)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lowest = -(2**63)
-    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(lowest)).alias("at"))
-    cuts = rows.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("cuts")).first().cuts
-    edges = np.unique(np.asarray(cuts or [], np.int64))
-
-    @F.arrow_udf("int")
-    def part(column: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(edges, column.to_numpy(zero_copy_only=False), "right").astype("int32"))
-
-    parted = rows.withColumn("part", part(F.col("at")))
-    heads = sorted((r.part, r.head) for r in parted.groupBy("part").agg(F.min("at").alias("head")).collect())  # one to a range
+    id_ = F.col("doc_id").cast("bigint")
+    rows = df.select(id_.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
+    ranges = rows.select("at", "h").repartitionByRange(parts, "at", "h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("at", "h")).alias("head")).collect()
+    heads = sorted({(r.head["at"], r.head.h) for r in ranges})  # one to a range
     if not heads:
         return spark.createDataFrame([], SCHEMA)
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    # a range's first row goes to the range before too, where it only ends the stream
-    to = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
-    goes = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("ends")), F.struct(F.try_element_at(to, "at").cast("int").alias("part"), F.lit(1).alias("ends")))
-    sent = parted.withColumn("goes", F.explode(F.filter(goes, lambda g: g["part"].isNotNull()))).select("doc_id", "text", "at", "goes.part", "goes.ends")
-    dealt = sent.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("part", "ends", "at", "text")
+
+    @F.arrow_udf("array<struct<part: int, ends: int>>")
+    def goes(at: pa.Array, h: pa.Array) -> pa.Array:
+        out = []
+        for key in zip(at.to_pylist(), h.to_pylist(), strict=True):
+            own = max(0, bisect_right(heads, key) - 1)
+            to = [{"part": own, "ends": 0}]
+            if key == heads[own]:  # a range's first row goes to the range before too, where it only ends the stream
+                to.append({"part": (own - 1) % len(heads), "ends": 1})
+            out.append(to)
+        return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("ends", pa.int32())])))
+
+    sent = rows.withColumn("to", F.explode(goes("at", "h"))).select("doc_id", "text", "at", "h", "to.part", "to.ends")
+    dealt = sent.repartitionById(len(heads), F.col("part")).sortWithinPartitions("part", "ends", "at", "h")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
-        last = None
+        last, over = None, False
         for batch in batches:
             for doc_id, t, ends in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ends").to_pylist(), strict=True):
-                t = t.as_py()
+                # rows equal to a range's first all end the range before: one of them is enough
+                if ends and over:
+                    continue
+                t, over = t.as_py(), bool(ends)
                 if last is not None:
                     yield (*last, t)
                 last = None if ends else (doc_id, t)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for row in _compared(stream(batches), chain):
+        for row in _compared(stream(batches), chain, shared.value):
             out.append(row)
             if len(out) >= 512:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)

@@ -67,6 +67,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def leading(texts: Sequence[bytes], table: bytes = LOWER) -> np.ndarray:
+    """The first byte of each of the words that hashes() gives."""
+    data = np.frombuffer((b"\n".join(texts) + b"\n").translate(table), np.uint8)
+    first = ~_SPACE[data]
+    first[1:] &= _SPACE[data[:-1]]
+    return data[first]
+
+
 def hashes(texts: Sequence[bytes], table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets): the hashes of all words, those of text i at offsets[i] to offsets[i + 1].  table translates bytes first."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1

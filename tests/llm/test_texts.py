@@ -125,7 +125,9 @@ def test_fingerprints_hold_the_spots(spark):
 def test_against_next_in_order_of_ids(spark):
     dice = random.Random(4)
     rows = [(i * 7 - 20, " ".join(dice.choice(["the", "fox", "runs", "é", "of", "night"]) for _ in range(dice.randint(0, 30)))) for i in range(150)] + [(5000, None), (None, "first of all")]
-    got = {r.doc_id: r for r in fingerprints.against_next(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    anchors = fingerprints.learn(frame)
+    got = {r.doc_id: r for r in fingerprints.against_next(frame.repartition(7)).collect()}
     ordered = sorted(rows, key=lambda r: -(10**9) if r[0] is None else r[0])
     assert len(got) == len(rows)
     for (i, t), (_, f) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
@@ -133,7 +135,7 @@ def test_against_next_in_order_of_ids(spark):
         half = len(t) // 2
         new = t[: len(t) - half] + f[:half]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        own, changed, following = (fingerprints.signatures([x.encode()])[0] for x in (t, new, f))
+        own, changed, following = (fingerprints.signatures([x.encode()], gap=fingerprints.GAP, anchors=anchors)[0] for x in (t, new, f))
         assert got[i].fingerprint == fingerprints.packed(own) and got[i].near_edited == fingerprints.likeness(own, changed) and got[i].near_next == fingerprints.likeness(own, following)
     one = fingerprints.against_next(spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1.0
@@ -157,20 +159,75 @@ def test_fingerprints_cover_text_without_anchors(spark):
     assert near[0] < 0.8 and near[1] < 0.8
 
 
-def test_similar_fingerprints(spark):
+@pytest.mark.parametrize("least", [0.8, 0.55, 0.56, 1 / 3])
+def test_similar_fingerprints(spark, least):
+    """All pairs of different fingerprints, each by the smallest id that has it."""
     dice = random.Random(9)
-    rows = []
-    for b in range(12):
-        base = [f"w{b}x{k}" if k % 2 else dice.choice(["the", "of", "and"]) for k in range(80)]
-        for c in range(4):
+    least, rows = round(least, 4), []
+    name = lambda b, k: "".join(chr(97 + int(d)) for d in f"{b}{k:03}")
+    for b in range(8):
+        base = [name(b, k) if k % 2 else dice.choice(["the", "of", "and"]) for k in range(60)]
+        for c in (0, 0, 1, 2, 5, 12, 20):
             own = list(base)
             for _ in range(c):
                 own[dice.randrange(len(own))] = "changed"
-            rows.append((len(rows), " ".join(own)))
-    prints = fingerprints.fingerprint(spark.createDataFrame([*rows, (99, "")], "doc_id bigint, text string"))
-    sets = {r.doc_id: fingerprints.unpacked(r.fingerprint) for r in prints.collect()}
-    wanted = {(a, b) for a in sets for b in sets if a < b < 99 and fingerprints.likeness(sets[a], sets[b]) >= 0.8}
-    assert {(r.a, r.b) for r in fingerprints.similar(prints).collect()} == wanted and wanted
+            rows.append((len(rows), " ".join(own[: 60 - 3 * (c % 4)])))
+    prints = fingerprints.fingerprint(spark.createDataFrame([*rows, (99, ""), (98, "")], "doc_id bigint, text string"))
+    sets: dict[str, int] = {}
+    for r in prints.collect():
+        sets[r.fingerprint] = min(r.doc_id, sets.get(r.fingerprint, r.doc_id))
+    own = {i: set(fingerprints.unpacked(f).tolist()) for f, i in sets.items() if f}
+    wanted = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) * 10_000 >= round(least * 10_000) * len(own[a] | own[b])}
+    got = fingerprints.similar(prints, least).collect()
+    assert {(r.a, r.b) for r in got} == wanted and wanted and len(got) == len(wanted)
+    assert all(r.likeness == pytest.approx(len(own[r.a] & own[r.b]) / len(own[r.a] | own[r.b])) for r in got)
+
+
+def test_prefixes_at_the_threshold_to_a_whole_number(spark):
+    """Sets of n with exactly the least part in common, where floats would round the prefix down."""
+    for least, n in ((0.55, 100), (0.56, 25), (0.8, 5)):
+        common = round(least * n)
+        a = np.arange(1, n + 1, dtype="<u4")
+        pair = [(1, fingerprints.packed(a)), (2, fingerprints.packed(a[:common]))]
+        pair += [(10 + i, fingerprints.packed(np.asarray([v], "<u4"))) for i, v in enumerate(a[common:])]
+        frame = spark.createDataFrame(pair, "doc_id bigint, fingerprint string")
+        assert [(r.a, r.b, r.likeness) for r in fingerprints.similar(frame, least).collect()] == [(1, 2, common / n)]
+
+
+def test_anchors_are_learned_for_each_script(spark):
+    dice = random.Random(14)
+    russian, greek = ["и", "в", "не", "на"], ["και", "το"]
+    make = lambda common, letters: " ".join(dice.choice(common) if k % 4 == 0 else "".join(dice.choice(letters) for _ in range(7)) for k in range(80))
+    rows = [(i, make(russian, "бдгжзклмпрстф")) for i in range(90)] + [(200 + i, make(greek, "βγδζθκλμνξπρσ")) for i in range(30)]
+    rows += [(300 + i, make(["lorem", "qua"], "bdfghjkl")) for i in range(100)] + [(900, None), (901, ""), (None, "и")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (1, 5, 40):
+        anchors = fingerprints.learn(frame.repartition(parts, "doc_id"))
+        low = lambda words: W.hashes([" ".join(words).encode()], W.LETTERS)[0] & ~np.uint64(15)  # noqa: E731, B023
+        # of 30 Greek documents nothing is learned
+        assert set(anchors.tolist()) == set(low([*fingerprints.ANCHORS, *russian, "lorem", "qua"]).tolist())
+    head = "первое слово "
+    one, two = (f"{head}{make(russian, 'бдгжзклмпрстф')}".encode() for _ in range(2))
+    a, b = (fingerprints.signatures([t], gap=fingerprints.GAP, anchors=anchors)[0] for t in (one, two))
+    assert len(a) > 10 and fingerprints.likeness(a, b) < 0.2
+
+
+def test_many_documents_of_one_id_are_several_ranges(spark):
+    rows = [(None, f"the words of {i} and more of {i * i}") for i in range(400)] + [(7, "same")] * 50 + [(i, None) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    out = fingerprints.against_next(frame)
+    got = out.collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 400
+    parts = out.select(F.spark_partition_id().alias("p"), "doc_id").filter("doc_id IS NULL").select("p").distinct().count()
+    assert parts > 1
+    # each text is the next of one other: around the circle
+    import collections
+
+    nexts = collections.Counter(r.edited_sha256 for r in got)
+    wide = frame.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()
+    ordered = [r.text for r in sorted(wide, key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, r.h))]
+    wanted = collections.Counter(hashlib.sha256(fingerprints.edited(t, f).encode()).hexdigest() for t, f in zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    assert nexts == wanted
 
 
 # ---- HTML
