@@ -5,13 +5,15 @@ text's grade is k or more is the logistic of w.x - t(k), and its severity is the
 chances.  Features are words (ASCII lower case, without ASCII punctuation and digits), hashed to ``2 ** BITS`` places,
 each with 1 + ln(count).
 
-Labels say toxic or not.  Grades are made from them: 0 for not toxic; the toxic ones are told apart by how many different
-words they hold that mark toxic rows (a word is a mark if its log-odds among toxic rows are far from chance): one or none
-is grade 1, two are 2, more are 3.
+Labels say toxic or not; how severe, they don't.  Grade 0 is not toxic.  Toxic rows are told apart by how plain their
+toxicity is to models that have not seen them: ``FOLDS`` two-grade models are fitted, each without one fold, and the
+chances that they give to the toxic rows of that fold are cut into as many bands of equal size as there are grades.  So
+severity is a proxy: the chance of grade 1 or more is that of a toxic label, and the higher grades rank toxic texts by it.
 
-Training rows are drawn by a level of a hash of their id: the lowest at which there are at most ``SAMPLE_ROWS``.  Their
-features come to the driver, where marks are found, weights are fitted by full-batch gradient steps, and those of words
-that are no marks are held small by a penalty.  Scoring is one pass over all documents, whole texts.
+Training rows are drawn by a level of a hash of their id: the lowest at which there are at most ``SAMPLE_ROWS``, with texts
+of at most ``SAMPLE_CHARS`` characters.  Their features come to the driver and weights are fitted by full-batch gradient
+steps; those of words that don't mark toxic rows (by their log-odds) are held small by a penalty.  Scoring is one pass
+over all documents, whole texts.
 
 Defined results: a null or empty text has no features and severity by the thresholds alone; labels other than 0 and 1, null
 ones and those without a document go unused; a document with several labels is toxic if one says so; without labels of
@@ -30,13 +32,15 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import level, small_batches
 
-#: Labelled rows that come to the driver, at most, and distinct features of one of them that are sent, by lowest hash.
-SAMPLE_ROWS = 8_000
+#: Labelled rows whose features come to the driver, and characters of their texts, at most.
+SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 32_000_000
 BITS = 18
 GRADES = 4
 #: A word marks toxic rows where its log-odds are this many standard errors above 0 and it is in as many toxic rows.
 MARK_ERRORS, MARK_ROWS = 3.0, 3
 STEPS, RATE, PENALTY, OTHER_PENALTY = 400, 0.1, 0.0005, 2.5
+#: Folds of the models that tell grades, and their steps.
+FOLDS, FOLD_STEPS = 3, 120
 
 
 @dataclass(frozen=True)
@@ -58,15 +62,16 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key & ((1 << BITS) - 1), (1 + np.log(count)).astype("f4"), np.searchsorted(key >> BITS, np.arange(len(texts) + 1))
 
 
-def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text") -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(toxic, places, values) of labelled documents."""
     usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.withColumn("level", level(F.col("doc_id"), 10))
-    counts = {r.level: r.n for r in usable.groupBy("level").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    least, total = max(counts, default=0), 0
+    sizes = documents.select("doc_id", F.coalesce(F.char_length(text), F.lit(0)).alias("size")).join(usable.select("doc_id", "level"), "doc_id")
+    counts = {r.level: (r.n, r.size) for r in sizes.groupBy("level").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}  # 65 rows at most
+    least, total, length = max(counts, default=0), 0, 0
     for at in sorted(counts, reverse=True):
-        total += counts[at]
-        if total > rows:
+        total, length = total + counts[at][0], length + counts[at][1]
+        if total > rows or length > chars:
             break
         least = at
     chosen = F.broadcast(usable.filter(F.col("level") >= least).select("doc_id", "toxic"))  # at most ``rows``
@@ -99,26 +104,34 @@ def marks(toxic: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero((odds > MARK_ERRORS * error) & (bad >= MARK_ROWS))
 
 
-def fit(toxic: np.ndarray, places: list[np.ndarray], values: list[np.ndarray]) -> Model:
-    nothing = Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 60.0))
-    if not len(toxic) or toxic.min() == toxic.max():
-        return nothing
-    marked = marks(toxic, places)
-    grade = np.asarray([t * (1 + np.clip(np.isin(p, marked).sum() - 1, 0, GRADES - 2)) for t, p in zip(toxic, places, strict=True)])
-    # words in one row only tell nothing about others
-    at, row = np.concatenate(places), np.repeat(np.arange(len(places)), [len(p) for p in places])
-    used = np.flatnonzero(np.bincount(at, minlength=1 << BITS) >= MARK_ROWS)
-    keep = np.isin(at, used)
-    x, column, row = np.concatenate(values)[keep], np.searchsorted(used, at[keep]), row[keep]
-    penalty = np.where(np.isin(used, marked), PENALTY, OTHER_PENALTY)
-    w, n = np.zeros(len(used)), len(toxic)
-    share = np.asarray([np.clip((grade >= k).mean(), 1e-4, 1 - 1e-4) for k in range(1, GRADES)])
-    t = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
-    vector = np.concatenate([w, t])
+@dataclass(frozen=True)
+class Rows:
+    """Features of rows, one after another, of words that are in enough rows to tell anything."""
+
+    used: np.ndarray
+    value: np.ndarray
+    column: np.ndarray
+    row: np.ndarray
+    penalty: np.ndarray
+
+    @classmethod
+    def of(cls, toxic: np.ndarray, places: list[np.ndarray], values: list[np.ndarray]) -> Rows:
+        at, row = np.concatenate(places), np.repeat(np.arange(len(places)), [len(p) for p in places])
+        used = np.flatnonzero(np.bincount(at, minlength=1 << BITS) >= MARK_ROWS)
+        keep = np.isin(at, used)
+        penalty = np.where(np.isin(used, marks(toxic, places)), PENALTY, OTHER_PENALTY)
+        return cls(used, np.concatenate(values)[keep], np.searchsorted(used, at[keep]), row[keep], penalty)
+
+
+def _ordinal(rows: Rows, grade: np.ndarray, grades: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of the cumulative-link model of the grades."""
+    width, n = len(rows.used), len(grade)
+    share = np.asarray([np.clip((grade >= k).mean(), 1e-4, 1 - 1e-4) for k in range(1, grades)])
+    vector = np.concatenate([np.zeros(width), np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1))])
     speed, size = np.zeros(len(vector)), np.zeros(len(vector))
-    for step in range(1, STEPS + 1):
-        w, t = vector[: len(used)], vector[len(used) :]
-        score = np.bincount(row, x * w[column], n)
+    for step in range(1, steps + 1):
+        w, t = vector[:width], vector[width:]
+        score = np.bincount(rows.row, rows.value * w[rows.column], n)
         p = 1 / (1 + np.exp(-(score[:, None] - t)))
         # the chance of grade k is that of k or more less that of k + 1 or more
         upper = np.concatenate([np.ones((n, 1)), p], axis=1)
@@ -127,19 +140,51 @@ def fit(toxic: np.ndarray, places: list[np.ndarray], values: list[np.ndarray]) -
         chance = np.maximum(own_u - own_l, 1e-9)
         d_u, d_l = own_u * (1 - own_u) / chance, own_l * (1 - own_l) / chance
         pull = d_u - d_l
-        g_w = -np.bincount(column, x * pull[row], len(used)) / n + penalty * w
-        g_t = np.asarray([(d_u[grade == k + 1].sum() - d_l[grade == k].sum()) / n for k in range(GRADES - 1)])
+        g_w = -np.bincount(rows.column, rows.value * pull[rows.row], width) / n + rows.penalty * w
+        g_t = np.asarray([(d_u[grade == k + 1].sum() - d_l[grade == k].sum()) / n for k in range(grades - 1)])
         # Adam, with a rate that falls to nothing
         slope = np.concatenate([g_w, g_t])
         speed, size = 0.9 * speed + 0.1 * slope, 0.99 * size + 0.01 * slope**2
         move = speed / (1 - 0.9**step) / (np.sqrt(size / (1 - 0.99**step)) + 1e-8)
-        vector = vector - RATE * (1 - step / STEPS) * move
-        vector[len(used) :] = np.maximum.accumulate(vector[len(used) :] + 1e-9 * np.arange(GRADES - 1))
-    w, t = vector[: len(used)], vector[len(used) :]
-    strong = np.abs(w) > 1e-3
-    return Model(used[strong], w[strong], t)
+        vector = vector - RATE * (1 - step / steps) * move
+        vector[width:] = np.maximum.accumulate(vector[width:] + 1e-9 * np.arange(grades - 1))
+    return vector[:width], vector[width:]
+
+
+def cross_fitted(toxic: np.ndarray, places: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+    """The score of each row by a model of two grades that was fitted without its fold; folds go round in the rows' order."""
+    out = np.zeros(len(toxic))
+    for fold in range(FOLDS):
+        own = np.arange(len(toxic)) % FOLDS == fold
+        rest = np.flatnonzero(~own)
+        if not len(rest) or toxic[rest].min() == toxic[rest].max():
+            continue
+        rows = Rows.of(toxic[rest], [places[i] for i in rest], [values[i] for i in rest])
+        weights, thresholds = _ordinal(rows, toxic[rest], 2, FOLD_STEPS)
+        dense = np.zeros(1 << BITS)
+        dense[rows.used] = weights
+        for i in np.flatnonzero(own):
+            out[i] = values[i] @ dense[places[i]] - thresholds[0]
+    return out
+
+
+def grades_of(toxic: np.ndarray, scores: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """0 for rows that aren't toxic, and for toxic ones the band of their score among them, bands of equal size."""
+    grade = np.zeros(len(toxic), np.int64)
+    bad = np.flatnonzero(toxic == 1)
+    edges = np.quantile(scores[bad], [k / (grades - 1) for k in range(1, grades - 1)]) if len(bad) else []
+    grade[bad] = 1 + np.searchsorted(edges, scores[bad], "left")
+    return grade
 
 
+def fit(toxic: np.ndarray, places: list[np.ndarray], values: list[np.ndarray]) -> Model:
+    if not len(toxic) or toxic.min() == toxic.max():
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 60.0))
+    grade = grades_of(toxic, cross_fitted(toxic, places, values))
+    rows = Rows.of(toxic, places, values)
+    w, t = _ordinal(rows, grade, GRADES, STEPS)
+    strong = np.abs(w) > 1e-3
+    return Model(rows.used[strong], w[strong], t)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -518,6 +518,77 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(documents.limit(0), toxicity.fit(*toxicity.sample(documents, none))).collect() == []
 
 
+def test_toxicity_scores_against_a_plain_version(spark):
+    """Each text's severity from its words one by one, by the weights of the model."""
+    rows, labels = labelled(400, 9)
+    rows += [(5000, None), (5001, "VILE vile, scum! " * 4000), (5001, "again"), (None, "vile")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("severity", F.lit("x")).withColumn("places", F.lit(1))
+    sampled = toxicity.sample(documents, spark.createDataFrame([*labels, (5001, 1, 1)], "doc_id bigint, quality int, toxic int"))
+    assert len(sampled[0]) == 402  # a repeated id is two rows
+    model = toxicity.fit(*sampled)
+    weight = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+    out = toxicity.score(documents, model)
+    assert out.columns == ["doc_id", "text", "places", "severity", "grade", "toxic_pred"] and out.count() == len(rows)
+    for r in out.collect():
+        counts: dict[int, int] = {}
+        for w in regex.findall(r"[a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")):
+            place = int(W.hashes([w.encode()], W.LETTERS)[0][0]) >> (64 - toxicity.BITS)
+            counts[place] = counts.get(place, 0) + 1
+        total = sum(weight.get(p, 0.0) * (1 + np.log(n)) for p, n in counts.items())
+        chances = [1 / (1 + np.exp(t - total)) for t in model.thresholds]
+        assert r.severity == pytest.approx(sum(chances), abs=1e-4) and r.toxic_pred == (chances[0] >= 0.5)
+
+
+def test_toxicity_fits_by_the_gradient_of_the_likelihood():
+    """No small step from the fitted weights and thresholds makes the penalised likelihood of the grades better."""
+    dice = np.random.default_rng(4)
+    places = [np.unique(dice.integers(0, 12, 6)) * 1000 for _ in range(300)]
+    values = [np.ones(len(p)) for p in places]
+    grade = np.clip(np.rint(np.asarray([(p < 4000).sum() for p in places]) + dice.normal(0, 0.7, 300) - 0.5), 0, 3).astype(np.int64)
+    toxic = (grade > 0).astype(np.int64)
+    rows = toxicity.Rows.of(toxic, places, values)
+    weights, thresholds = toxicity._ordinal(rows, grade, 4, 3000)
+
+    def loss(w, t):
+        score = np.bincount(rows.row, rows.value * w[rows.column], 300)
+        p = np.concatenate([np.ones((300, 1)), 1 / (1 + np.exp(-(score[:, None] - t))), np.zeros((300, 1))], axis=1)
+        at = np.arange(300)
+        return -np.log(p[at, grade] - p[at, grade + 1]).mean() + (rows.penalty * w**2).sum() / 2
+
+    best = loss(weights, thresholds)
+    for k in range(len(weights)):
+        for step in (0.02, -0.02):
+            moved = weights.copy()
+            moved[k] += step
+            assert loss(moved, thresholds) > best - 1e-6
+    for k in range(3):
+        for step in (0.02, -0.02):
+            moved = thresholds.copy()
+            moved[k] += step
+            assert loss(weights, moved) > best - 1e-6
+
+
+def test_toxicity_grades_are_bands_of_what_other_folds_say():
+    toxic = np.asarray([0, 1] * 30)
+    scores = np.arange(60.0)
+    grade = toxicity.grades_of(toxic, scores)
+    assert (grade[toxic == 0] == 0).all() and np.bincount(grade).tolist() == [30, 10, 10, 10] and (np.diff(grade[toxic == 1]) >= 0).all()
+    # a word of one row only tells its fold's model nothing
+    places = [np.asarray([7]) if t else np.asarray([9]) for t in toxic]
+    places[1] = np.asarray([1234])
+    fitted = toxicity.cross_fitted(toxic, places, [np.ones(1)] * 60)
+    assert fitted[3] > 0 > fitted[1]
+
+
+def test_toxicity_sample_is_bounded_in_rows_and_characters(spark):
+    rows, labels = labelled(600)
+    documents, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    size = {i: len(t) for i, t in rows}
+    assert len(toxicity.sample(documents, known)[0]) == 600
+    few = toxicity.sample(documents, known, chars=sum(size.values()) // 3)
+    assert 0 < len(few[0]) < 300 and len(toxicity.sample(documents, known, rows=100)[0]) <= 100
+
+
 # ---- language model
 
 
