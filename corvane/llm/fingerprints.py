@@ -110,7 +110,7 @@ def learn(df: DataFrame, text: str = "text", share: float = SHARE, least_docs: i
     rows = df.select(text)
     common = rows.mapInArrow(lambda b: counted(b, None), schema).filter("word IS NOT NULL").select("word").distinct().toArrow()
     shared = df.sparkSession.sparkContext.broadcast(np.sort(common.column("word").to_numpy().view(np.uint64)))
-    summed = rows.mapInArrow(lambda b: counted(b, shared.value), schema).groupBy("word", "script").agg(F.sum("n").alias("n"))
+    summed = stored(rows.mapInArrow(lambda b: counted(b, shared.value), schema).groupBy("word", "script").agg(F.sum("n").alias("n")))
     docs = summed.filter("word IS NULL").select("script", F.col("n").alias("docs"))  # a row for each script
     found = summed.filter("word IS NOT NULL").join(F.broadcast(docs), "script").filter((F.col("n") >= F.col("docs") * share) & (F.col("docs") >= least_docs)).select("word").toArrow()
     return np.unique(np.concatenate([_ANCHORS, found.column("word").to_numpy().view(np.uint64) & ~np.uint64(15)]))
