@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import byte_bpe, language_id, line_dedup, ngram_join, source_mixing
-from corvane.llm.common import stored
+from corvane.llm.common import clear_stored, made, stored
 from corvane.llm.queries import BPE_FILE
 
 #: Near-duplicates share this part of their shingles of so many words.
@@ -72,7 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        clear_stored(spark, before, but=1)  # what led to it, and what the stage before wrote
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,13 +17,19 @@ SPACES = " \t\n\x0b\x0c\r"
 _MADE: list[str] = []
 
 
-def clear_stored(spark: SparkSession) -> int:
-    """Delete the tables that stored() has written from here, once nothing that reads them is needed.  Returns how many."""
-    conf, n = spark._jsc.hadoopConfiguration(), len(_MADE)
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+def made() -> int:
+    """How many tables stored() has written that are still there: clear_stored() can go back to here."""
+    return len(_MADE)
+
+
+def clear_stored(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete the tables that stored() has written since made() said so, but for the last ones, once nothing that reads them is needed.  Returns how many."""
+    conf, gone = spark._jsc.hadoopConfiguration(), _MADE[since : len(_MADE) - but]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+        _MADE.remove(name)
+    return len(gone)
 
 
 def written(path: str) -> None:
@@ -39,14 +45,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts of no more rows than this, unless the session has its own setting.
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 25) -> None:
+    """Arrow batches of whole texts of no more rows and about as many bytes as this, unless the session has settings of its own.
 
-    The setting is read when a plan runs, so it stays.
+    The settings are read when a plan runs, so they stay, and other plans of the session that use Arrow run with them too.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", f"{size}b")):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, str(value))
 
 
 def code_points_key(column: Column) -> Column:

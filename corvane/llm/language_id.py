@@ -2,9 +2,9 @@
 
 For each language a zstandard dictionary of raw content is filled with texts in it.  A text, in lower case and without ASCII
 punctuation and digits, is cut into pieces, each is compressed with every language's dictionary, and the language whose
-dictionary gives the fewest bytes in all is chosen.  The margin is how many bytes less that is than with the second
-language (with no dictionary, where one language is known), for each byte of the text; the score is the margin's place
-between none and all, m / (m + ``MARGIN``).  Where the margin is narrow, or the sizes are equal, the text is rejected.
+dictionary gives the fewest bytes in all is chosen.  The margin is how many bytes more the second language takes (or no
+dictionary, where one language is known), for each byte of the fewest; the score is the margin's place between none and
+all, m / (m + ``MARGIN``).  Where the margin is narrow, or the sizes are equal, the text is rejected.
 
 Learning reads every training row to learn how much there is.  All texts are cut into samples of ``SAMPLE_PIECE`` characters,
 from their first to their last, and those at a level of a hash of id and place, or above, come to the driver: the lowest
@@ -35,8 +35,8 @@ from .words import LETTERS
 SAMPLE_CHARS, TOTAL_CHARS, SAMPLE_PIECE = 200_000, 16_000_000, 2_000
 #: Bytes of a piece that is compressed by itself, and zstandard's level.
 PIECE, LEVEL = 4096, 9
-#: Bytes of margin for each byte of text at which the score is a half; scores below the second number are rejected.
-MARGIN, LEAST_SCORE = 0.01, 0.1
+#: Bytes of margin for each compressed byte at which the score is a half; scores below the second number are rejected.
+MARGIN, LEAST_SCORE = 0.03, 0.1
 UNKNOWN = "und"
 
 
@@ -111,7 +111,7 @@ def _compressors(model: Model) -> list:
 
 
 def classify(model: Model, text: str | None, compressors: list | None = None) -> tuple[str, float]:
-    """(language, score).  The score grows with the margin to the second language for each byte; equal sizes give 0."""
+    """(language, score).  The score grows with the margin to the second language for each compressed byte; equal sizes give 0."""
     if not text or not model.languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     compressors = compressors or _compressors(model)
@@ -120,7 +120,7 @@ def classify(model: Model, text: str | None, compressors: list | None = None) ->
     sizes = [sum(len(compress(p)) for p in pieces) for compress in compressors]
     best = min(sizes)
     second = sorted(sizes)[1] if len(sizes) > 1 else max(best, sum(len(_PLAIN(p)) for p in pieces))
-    margin = (second - best) / max(1, len(data))
+    margin = (second - best) / max(1, best)
     return model.languages[sizes.index(best)], margin / (margin + MARGIN)
 
 

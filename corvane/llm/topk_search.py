@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import shared_folder
 
-from .common import level, stored, written
+from .common import clear_stored, level, made, stored, written
 
 #: Points of a block, points of a leaf, pivots, and the rows that pivots are drawn from, at most.
 BLOCK, LEAF, PIVOTS, PIVOT_ROWS = 2048, 96, 16, 1024
@@ -333,6 +333,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: int = 256, vec_id:
     out = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
     spark.createDataFrame([], _FOUND).write.parquet(out)
     written(out)
+    before = made()
     for turn in range(rounds):
         taken = query.filter(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn).select("pivot", "tree").collect()  # about ROUND_BYTES
         if not taken:
@@ -347,6 +348,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: int = 256, vec_id:
         later = spark.sparkContext.broadcast([(r.pivot, bytes(r.tree), f) for r, f in zip(taken, floors, strict=True)])
         every = found.select("query_id", "vec_id", "score").unionByName(_meet(data, later, k, False))
         best(every, k).drop("rank").write.mode("append").parquet(out)
+        clear_stored(spark, before)
         first_blocks.destroy()
         later.destroy()
     # an id with several vectors may be a query of several rounds

@@ -453,7 +453,7 @@ def test_language_id_against_a_plain_version(spark):
             words.precompute_compress(level=language_id.LEVEL)
             packer = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
             sizes.append(sum(len(packer.compress(data[i : i + language_id.PIECE])) for i in range(0, len(data), language_id.PIECE)))
-        margin = (sorted(sizes)[1] - min(sizes)) / len(data)
+        margin = (sorted(sizes)[1] - min(sizes)) / min(sizes)
         assert r.lang_pred == model.languages[sizes.index(min(sizes))] and r.score == pytest.approx(margin / (margin + language_id.MARGIN))
         assert r.rejected == (r.score < language_id.LEAST_SCORE)
 
